@@ -42,8 +42,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
     """(__src, __source_size, __target) from (__src, __source_size), one row for each source.
 
     Sources that stop at their cap are those with the least cap per weight. With sources in that order,
-    the level that the rest would get is the words left over by the weights left; a source is capped
-    while its cap per weight is below that level.
+    the level that the rest would get is the words left over by the weights left. It rises while the
+    next source is capped and falls after that, so its largest value is where capping stops.
     """
     by_name, by_ratio = Window.orderBy("__src"), Window.orderBy("__ratio", "__src")
     before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
@@ -57,8 +57,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
         .withColumn("__wleft", F.sum("__w").over(all_rows) - F.coalesce(F.sum("__w").over(before), F.lit(0)))
         .withColumn("__level", F.col("__left").cast("double") / F.col("__wleft"))
     )
-    level = F.min(F.when(F.col("__ratio") >= F.col("__level"), F.col("__level"))).over(all_rows)
-    return x.select("__src", "__source_size", F.least(F.col("__cap").cast("double"), F.col("__w") * F.coalesce(level, F.lit(0.0))).alias("__target"))
+    level = F.max("__level").over(all_rows)
+    return x.select("__src", "__source_size", F.least(F.col("__cap").cast("double"), F.col("__w") * level).alias("__target"))
 
 
 def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3, seed: str = "mix") -> DataFrame:
@@ -120,7 +120,7 @@ w AS (SELECT src, source_size, (row_number() OVER (ORDER BY src) - 1) % 3 + 1 AS
 r AS (SELECT *, 3 * source_size AS cap, (3 * source_size)::DOUBLE / w AS ratio FROM w),
 l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0))::DOUBLE / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS lev
       FROM r WINDOW b AS (ORDER BY ratio, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-t AS (SELECT src, source_size, least(cap::DOUBLE, w * coalesce((SELECT min(lev) FROM l WHERE ratio >= lev), 0.0)) AS target FROM l),
+t AS (SELECT src, source_size, least(cap::DOUBLE, w * (SELECT max(lev) FROM l)) AS target FROM l),
 x AS (SELECT e.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
         ('0x' || substr(md5('mix' || e.src), 1, 8))::BIGINT::DOUBLE / 4294967296.0 AS u,
         row_number() OVER (PARTITION BY e.src ORDER BY class, salt, doc_id, size) AS i
