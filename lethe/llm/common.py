@@ -62,3 +62,14 @@ def small(df: DataFrame, rows: int, most: int) -> DataFrame:
 def md5_int(col):
     """The first 32 bits of an md5, the hash that both Spark and the SQL oracle have."""
     return F.conv(F.substring(F.md5(col), 1, 8), 16, 10).cast("long")
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Arrow batches to Python hold at most so many rows, since a single text can be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, rows)
+
+
+def text_or_empty():
+    return F.coalesce(F.col("text"), F.lit(""))

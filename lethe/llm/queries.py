@@ -2,14 +2,28 @@
 
 from __future__ import annotations
 
-from lethe.llm import line_dedup, mixing
+import public_tokenizers
+
+from lethe.llm import audio, line_dedup, mixing, packing, token_counts
 from lethe.llm.common import table
 
 
+def op2_token_counts(spark, sf_dir):
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op4_mpeg_audio(spark, sf_dir):
+    return audio.index_audio(audio.to_audio(table(spark, sf_dir, "documents")))
+
+
 def op6_mix_sources(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op7_pack(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_line_dedup(spark, sf_dir):
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
