@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from lethe.llm import audio, line_dedup, mixing, packing, token_counts
+from lethe.llm import audio, language, line_dedup, mixing, packing, token_counts, toxicity
 from lethe.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op4_mpeg_audio(spark, sf_dir):
     return audio.index_audio(audio.to_audio(table(spark, sf_dir, "documents")))
 
 
+def op5_toxicity(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_mix_sources(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -24,6 +28,11 @@ def op7_pack(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.fit(docs))
+
+
 def op9_line_dedup(spark, sf_dir):
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
