@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from lethe.llm import audio, language, line_dedup, mixing, packing, token_counts, toxicity
+from lethe.llm import audio, html_text, language, line_dedup, mixing, packing, token_counts, toxicity
 from lethe.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op2_token_counts(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_html_text(spark, sf_dir):
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op4_mpeg_audio(spark, sf_dir):
     return audio.index_audio(audio.to_audio(table(spark, sf_dir, "documents")))
 
