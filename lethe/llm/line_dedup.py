@@ -106,7 +106,8 @@ def mark_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, batches:
         if high is not None:
             part = part.where(F.col("doc_id") <= high)
         runs.add(part)
-    common = runs.merged().where(F.col("n_docs") >= min_docs).select(*KEY, "owner")
+    # Written, so that both sides of the join are plain shuffles and a very common line's rows can be split.
+    common = scratch.write(runs.merged().where(F.col("n_docs") >= min_docs).select(*KEY, "owner"), "common")
     drops = (
         rows.join(common, KEY)
         .where(F.col("doc_id") != F.col("owner"))
