@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from lethe.llm import audio, html_text, language, line_dedup, mixing, packing, token_counts, toxicity
+from lethe.llm import audio, html_text, language, line_dedup, mixing, ngram_join, packing, token_counts, toxicity
 from lethe.llm.common import table
 
 
+def op1_ngram_join(spark, sf_dir):
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
