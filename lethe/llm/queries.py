@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from lethe.llm import audio, html_text, language, line_dedup, mixing, ngram_join, packing, token_counts, toxicity
+from lethe.llm import audio, embedding_dedup, html_text, language, line_dedup, mixing, ngram_join, packing, token_counts, toxicity
 from lethe.llm.common import table
 
 
+def op10_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.near_links(table(spark, sf_dir, "embeddings"))
+
+
 def op1_ngram_join(spark, sf_dir):
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
 
