@@ -38,31 +38,48 @@ class WordIds(dict):
     """Ids of a word as packed little-endian 32-bit numbers; bounded, and refilled when full.
 
     White space never lies inside a token of a tokenizer that drops it, so texts can be encoded word
-    by word. A closing comma or full stop after a letter is a token of its own there.
+    by word. A closing comma or full stop after a letter is a token of its own there. Unknown words of
+    letters alone are encoded in one call, as one text: each ends with the only token that closes a
+    word; should their number differ, words are encoded one by one.
     """
 
     def __init__(self, tokenizer):
         super().__init__()
         self.tokenizer = tokenizer
-
-    def encode(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, words: set[bytes]) -> None:
-        """Encode unknown words in one call."""
-        if len(self) + len(words) > MEMO_WORDS:
-            self.clear()
-        tails = {w: w[:-1] for w in words if w[-1:] in b".," and len(w) > 1 and w[-2:-1].isalpha()}
-        unknown = ({tails.get(w, w) for w in words} | {b".", b","} if tails else set(words)) - self.keys()
+        vocabulary = tokenizer.get_vocab(with_added_tokens=False)
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        plain = [w for w in words if w.isalpha()]
+        out = {}
+        if plain:
+            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.closes[np.minimum(ids, len(self.closes) - 1)]) + 1
+            if len(ends) == len(plain) and ends[-1] == len(ids):
+                data, cuts = ids.tobytes(), (4 * ends).tolist()
+                out = {w: data[i:j] for w, i, j in zip(plain, [0, *cuts], cuts)}
+        rest = [w for w in words if w not in out]
+        for w, x in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            out[w] = np.asarray(x.ids, "<u4").tobytes()
+        return [out[w] for w in words]
+
+    def learn(self, words: list[bytes]) -> None:
+        tails = {w: w[:-1] for w in words if w[-1:] in b".," and w[:-1].decode()[-1:].isalpha()}
+        unknown = {x for w in words if (x := tails.get(w, w)) not in self}
+        if tails:
+            unknown |= {x for x in (b".", b",") if x not in self}
         names = list(unknown)
-        for name, x in zip(names, self.tokenizer.encode_batch_fast([w.decode() for w in names], add_special_tokens=False)):
-            self[name] = np.asarray(x.ids, "<u4").tobytes()
+        self.update(zip(names, self._encode([w.decode() for w in names])))
         for w, stem in tails.items():
             self[w] = self[stem] + self[w[-1:]]
 
     def text(self, text: bytes) -> bytes:
         words = text.split()
-        fresh = {w for w in set(words) if w not in self}
+        fresh = [w for w in set(words) if w not in self]
+        if fresh and len(self) + len(fresh) > MEMO_WORDS:
+            self.clear()
+            fresh = list(set(words))
         if fresh:
             self.learn(fresh)
         return b"".join(map(self.__getitem__, words))
@@ -155,6 +172,9 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, tiers=TIERS, step_tokens:
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def run(batches):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         words = WordIds(Tokenizer.from_str(shipped.value))
