@@ -18,6 +18,7 @@ only a sequence whose length is no power of two is padded, to ``window``.
 
 from __future__ import annotations
 
+import string
 import zlib
 from bisect import bisect_right, insort
 
@@ -31,14 +32,15 @@ from lethe.llm.common import bounded_batches
 
 TIERS = (512, 1024, 2048, 4096)
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier long, step_group long"
-MEMO_WORDS = 400_000
+MEMO_WORDS = 600_000
+MARKS = string.punctuation.encode()
 
 
 class WordIds(dict):
     """Ids of a word as packed little-endian 32-bit numbers; bounded, and refilled when full.
 
     White space never lies inside a token of a tokenizer that drops it, so texts can be encoded word
-    by word. A closing comma or full stop after a letter is a token of its own there. Unknown words of
+    by word. ASCII marks that close a word of letters are apart from it there. Unknown words of
     letters alone are encoded in one call, as one text: each ends with the only token that closes a
     word; should their number differ, words are encoded one by one.
     """
@@ -65,14 +67,13 @@ class WordIds(dict):
         return [out[w] for w in words]
 
     def learn(self, words: list[bytes]) -> None:
-        tails = {w: w[:-1] for w in words if w[-1:] in b".," and w[:-1].decode()[-1:].isalpha()}
+        tails = {w: stem for w in words if len(stem := w.rstrip(MARKS)) < len(w) and stem.decode().isalpha()}
         unknown = {x for w in words if (x := tails.get(w, w)) not in self}
-        if tails:
-            unknown |= {x for x in (b".", b",") if x not in self}
+        unknown |= {x for w, stem in tails.items() if (x := w[len(stem) :]) not in self}
         names = list(unknown)
         self.update(zip(names, self._encode([w.decode() for w in names])))
         for w, stem in tails.items():
-            self[w] = self[stem] + self[w[-1:]]
+            self[w] = self[stem] + self[w[len(stem) :]]
 
     def text(self, text: bytes) -> bytes:
         words = text.split()
