@@ -1,9 +1,10 @@
 """N-gram Jaccard join with signature trees.
 
 1. Each text's shingle set gets a digest; equal sets are one class, joined through its smallest doc_id.
-2. Segment signatures (see ``shingles``) bring sets together that may be similar. Tasks combine equal
-   signatures before the shuffle, which carries packed arrays, and what meets becomes star edges; their
-   components are the candidate groups. No pair of sets of the wanted similarity lies in two groups.
+2. Segment signatures (see ``shingles``) bring sets together that may be similar. They are shuffled as
+   packed arrays and counted; each set keeps the rarest of its shared ones, as many as the similarity
+   demands, and what meets in those becomes star edges, whose components are the candidate groups. No
+   pair of sets of the wanted similarity lies in two groups.
 3. A group's sets, one for each class, are joined by signature trees: leaves hold a set's bitmap and
    size, nodes the OR of their children's bitmaps and the range of sizes, and a dual traversal drops
    pairs of nodes whose greatest possible overlap is too small. Pairs of leaves are verified on the
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lethe.llm.common import Scratch, bounded_batches, small
 from lethe.llm.components import connected_components
-from lethe.llm.shingles import digest, overlap, shingle_set, signatures
+from lethe.llm.shingles import BOUNDS, TAG_BITS, differences, digest, mixed, overlap, shingle_set, signatures
 
 NO_ID = -1 << 63
 LEVEL = (80, 100)  # 100 * intersection >= 80 * union
@@ -53,18 +54,8 @@ def set_sizes(docs: DataFrame) -> DataFrame:
     return _texts(docs).mapInArrow(run, "doc_id long, n_shingles long, digest binary")
 
 
-def _stars(keys: np.ndarray, ids: np.ndarray):
-    """Of rows (key, id): each key's smallest id, and edges from it to the key's other ids."""
-    order = np.lexsort((ids, keys))
-    keys, ids = keys[order], ids[order]
-    first = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
-    low = ids[first][np.cumsum(first) - 1] if len(keys) else ids
-    edges = np.unique(np.stack([low, ids], 1)[low != ids], axis=0)
-    return keys[first], ids[first], edges
-
-
 def _planes(ids: np.ndarray) -> bytes:
-    """64-bit ids by byte plane, which compresses well."""
+    """64-bit numbers by byte plane, which compresses well."""
     return np.ascontiguousarray(ids.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
 
 
@@ -73,27 +64,34 @@ def _unplanes(data: bytes) -> np.ndarray:
 
 
 FLUSH = 1 << 20
+SIGNS, COPIES, FILLED = range(3)
+MET = "id long, tag int, sig long, m long"
+
 
+def shared_signatures(docs: DataFrame, parts: int) -> DataFrame:
+    """Rows (id, tag, sig, m) for each signature that m > 1 documents have.
 
-def candidate_edges(docs: DataFrame, parts: int) -> DataFrame:
-    """Edges (a, b) between documents that share a signature, as stars around the smallest id."""
-    names = ["part", "edges", "keys", "ids"]
+    A row with m < 0 says that the document has -m signatures of the tag; one with tag -1 says that
+    document sig, of a smaller id, has the same set.
+    """
+    names = ["part", "kind", "keys", "ids"]
 
     def sign(batches):
-        held_keys, held_ids, seen, extra, held = [], [], {}, [], 0
+        keys, ids, filled, copies, seen, held = [], [], [], [], {}, 0
 
         def flush():
-            keys, ids, edges = _stars(np.concatenate(held_keys), np.concatenate(held_ids))
-            if extra:
-                edges = np.concatenate([edges, np.array(extra, np.int64).reshape(-1, 2)])
-            part = (keys % np.uint64(parts)).astype(np.int64)
+            all_keys, all_ids = np.concatenate(keys), np.concatenate(ids)
+            part = (mixed(all_keys) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             cuts = np.searchsorted(part[order], np.arange(parts + 1))
-            rows = [(p, False, keys[x].tobytes(), _planes(ids[x])) for p in range(parts) if len(x := order[cuts[p] : cuts[p + 1]])]
-            if len(edges):
-                rows.append((int(edges[0, 0] % parts), True, np.ascontiguousarray(edges[:, 0]).tobytes(), _planes(edges[:, 1])))
-            held_keys.clear(), held_ids.clear(), seen.clear(), extra.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.bool_(), pa.binary(), pa.binary()))], names)
+            rows = [(p, SIGNS, all_keys[x].tobytes(), _planes(all_ids[x])) for p in range(parts) if len(x := order[cuts[p] : cuts[p + 1]])]
+            for kind, pairs in ((FILLED, filled), (COPIES, copies)):
+                if pairs:
+                    x = np.array(pairs, np.int64)
+                    rows.append((int(x[0].sum() % parts), kind, np.ascontiguousarray(x[:, 0]).tobytes(), _planes(x[:, 1])))
+            for x in (keys, ids, filled, copies, seen):
+                x.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names)
 
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
@@ -103,34 +101,75 @@ def candidate_edges(docs: DataFrame, parts: int) -> DataFrame:
                 key = digest(items)
                 if key in seen:  # the same set signs once in a flush
                     if seen[key] != doc_id:
-                        extra.append((min(seen[key], doc_id), max(seen[key], doc_id)))
+                        copies.append((min(seen[key], doc_id), max(seen[key], doc_id)))
                     continue
                 seen[key] = doc_id
-                found = signatures(items)
-                held_keys.append(found)
-                held_ids.append(np.full(len(found), doc_id, np.int64))
-                held += len(found)
-                if held >= FLUSH:
-                    yield flush()
-                    held = 0
+                for tag, found in signatures(items):
+                    keys.append(found)
+                    ids.append(np.full(len(found), doc_id, np.int64))
+                    filled.append((len(found) << TAG_BITS | tag, doc_id))
+                    held += len(found)
+            if held >= FLUSH:
+                yield flush()
+                held = 0
         if held:
             yield flush()
 
+    def rows_of(ids, tags, sigs, m):
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tags.astype(np.int32)), pa.array(sigs.view(np.int64)), pa.array(m.astype(np.int64))], ["id", "tag", "sig", "m"])
+
     def meet(batches):
         groups: dict[int, list] = {}
         for batch in batches:
-            for part, is_edges, keys, ids in zip(*(batch.column(k).to_pylist() for k in names)):
-                if is_edges:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys, "<i8")), pa.array(_unplanes(ids))], ["a", "b"])
+            for part, kind, keys, ids in zip(*(batch.column(k).to_pylist() for k in names)):
+                keys, ids = np.frombuffer(keys, "<u8"), _unplanes(ids)
+                if kind == SIGNS:
+                    groups.setdefault(part, []).append((keys, ids))
+                elif kind == COPIES:
+                    yield rows_of(ids, np.full(len(ids), -1), keys, np.zeros(len(ids)))
                 else:
-                    groups.setdefault(part, []).append((np.frombuffer(keys, "<u8"), _unplanes(ids)))
-        for got in groups.values():
-            _, _, edges = _stars(np.concatenate([x for x, _ in got]), np.concatenate([x for _, x in got]))
-            if len(edges):
-                yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
-
-    signed = _texts(docs).mapInArrow(sign, "part long, edges boolean, keys binary, ids binary")
-    return signed.repartition(parts, "part").mapInArrow(meet, "a long, b long").distinct()
+                    n = keys.view(np.int64)
+                    yield rows_of(ids, n & (1 << TAG_BITS) - 1, np.zeros(len(ids), np.int64), -(n >> TAG_BITS))
+        while groups:
+            got = groups.popitem()[1]
+            keys, ids = np.concatenate([x for x, _ in got]), np.concatenate([x for _, x in got])
+            order = np.lexsort((ids, keys))
+            keys, ids = keys[order], ids[order]
+            new = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
+            keys, ids = keys[np.concatenate([[True], new])], ids[np.concatenate([[True], new])]
+            starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            n = np.diff(np.concatenate([starts, [len(keys)]]))
+            m = np.repeat(n, n)
+            at = m > 1
+            for i in range(0, int(at.sum()), FLUSH):
+                x = np.flatnonzero(at)[i : i + FLUSH]
+                yield rows_of(ids[x], (keys[x] & np.uint64((1 << TAG_BITS) - 1)).astype(np.int64), keys[x], m[x])
+
+    signed = _texts(docs).mapInArrow(sign, "part long, kind long, keys binary, ids binary")
+    return signed.repartition(parts, "part").mapInArrow(meet, MET)
+
+
+def candidate_edges(met: DataFrame, scratch: Scratch) -> DataFrame:
+    """Edges (a, b) between documents that may be similar, as stars around the smallest id of a signature.
+
+    Of its signatures of a tag, in order of their counts, a document keeps the first d + 1. Those that
+    no other document has come first in that order and count, though they lead nowhere.
+    """
+    by = Window.partitionBy("id", "tag")
+    differ = F.element_at(F.array(*(F.lit(differences(i)) for i in range(len(BOUNDS) - 1))), F.shiftright("tag", 2) + 1)
+    alone = F.greatest(F.lit(0), -F.min("m").over(by) - F.count_if(F.col("m") > 0).over(by))
+    kept = (
+        met.where(F.col("tag") >= 0)
+        .withColumn("rank", F.row_number().over(by.orderBy("m", "sig")) - 1)  # the row of m < 0 is first
+        .withColumn("most", differ + 1 - alone)
+        .where((F.col("m") > 0) & (F.col("rank") <= F.col("most")))
+        .select("sig", "id")
+    )
+    kept = scratch.write(kept, "kept")
+    low = kept.groupBy("sig").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).drop("n")
+    stars = kept.join(scratch.write(low, "low"), "sig").where(F.col("id") > F.col("low")).select(F.col("low").alias("a"), F.col("id").alias("b"))
+    copies = met.where(F.col("tag") < 0).select(F.col("sig").alias("a"), F.col("id").alias("b"))
+    return stars.union(copies).distinct()
 
 
 # --- signature trees
@@ -240,7 +279,10 @@ def join_sets(docs: DataFrame, scratch: Scratch, block_rows: int = 128, pivots:
     total = sizes.agg(F.sum("n_shingles")).first()[0] or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // per_part)
     classes = scratch.write(sizes.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    near = scratch.write(candidate_edges(docs, parts), "near")
+    met = scratch.write(shared_signatures(docs, parts), "met")
+    near = scratch.write(candidate_edges(met, scratch), "near")
+    for name in ("met", "kept", "low"):
+        scratch.drop(name)
     groups = connected_components(near, scratch, "groups").withColumnRenamed("component", "grp")
     # Classes in groups of at least two classes.
     members = scratch.write(classes.join(groups, classes["rep"] == groups["id"]).select("digest", "rep", "grp"), "members")

@@ -32,7 +32,7 @@ from lethe.llm.common import bounded_batches
 
 TIERS = (512, 1024, 2048, 4096)
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier long, step_group long"
-MEMO_WORDS = 600_000
+MEMO_WORDS = 1_000_000
 MARKS = string.punctuation.encode()
 
 

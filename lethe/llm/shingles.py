@@ -8,7 +8,9 @@ most (|x| + |y|) / 9 <= |x| / 4 elements, and |y| <= 5/4 |x|. Cut the hash range
 that; if more parts than the greatest difference hold elements, some part holds equal elements in both
 sets, and its signature is shared. A set with too few filled parts also signs a finer cut, at last one
 of single elements, so no pair is missed. Sizes are grouped in classes, and a set that may be the
-larger partner of the class below signs there too.
+larger partner of the class below signs there too. There are more parts than needed, so that similar
+sets share several signatures and each may leave out its most frequent ones, which passages cause that
+many texts repeat.
 """
 
 from __future__ import annotations
@@ -85,47 +87,63 @@ def digest(items: np.ndarray) -> bytes:
     return hashlib.blake2b(items.tobytes(), digest_size=16).digest()
 
 
+TAG_BITS = 8  # a signature's lowest bits name its class and cut
+
+
 def _bounds() -> list[int]:
     found = [1]
-    while found[-1] < 1 << 40:
+    while len(found) < 1 << TAG_BITS - 2:
         found.append(max(found[-1] + 1, found[-1] * 3 // 2))
     return found
 
 
 BOUNDS = _bounds()  # first size of each class
+LEVELS = 3  # cuts of a class: coarse, twice as fine, single elements
+
 
+def differences(label: int) -> int:
+    """The most elements in which similar sets differ, the smaller one being of this class."""
+    return (BOUNDS[label + 1] - 1) // 4
 
-def _sign(items: np.ndarray, label: int, level: int, parts: int) -> tuple[np.ndarray, int]:
-    """Signatures of the filled parts of a cut of the hash range, and their number; 0 parts: of single elements."""
+
+def _sign(items: np.ndarray, tag: int, parts: int) -> np.ndarray:
+    """Signatures of the filled parts of a cut of the hash range; 0 parts: of single elements."""
     if parts:
         part = (items >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
         starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
         values, where = np.add.reduceat(mixed(items), starts), part[starts]
     else:
         values, where = mixed(items), np.zeros(len(items), np.uint64)
-    tag = np.uint64((label * 8 + level) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-    return mixed(values + mixed(where + tag)), len(values)
+    seed = np.uint64((tag + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    low = np.uint64((1 << TAG_BITS) - 1)
+    return mixed(values + mixed(where + seed)) & ~low | np.uint64(tag)
+
 
+def signatures(items: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(tag, signatures) of each cut that a set signs.
 
-def signatures(items: np.ndarray) -> np.ndarray:
-    """Numbers of which any two sets of similarity 4/5 or more share at least one."""
+    In a cut of which a set fills f parts, it shares at least f - d signatures with every set that it
+    must meet there, d being the class's differences(). So of each cut, after any one order of all
+    signatures, its first d + 1 are enough: one of them is shared, and is among the other set's too.
+    """
     n = len(items)
     if not n:
-        return np.zeros(0, np.uint64)
+        return []
     own = bisect_right(BOUNDS, n) - 1
     labels = [own]
     if own and 4 * n <= 5 * (BOUNDS[own] - 1):
         labels.append(own - 1)
     out = []
     for label in labels:
-        differ = (BOUNDS[label + 1] - 1) // 4
-        parts = differ + 1 + differ // 6
-        for level in range(3):
-            found, filled = _sign(items, label, level, (parts << level) if level < 2 else 0)
-            out.append(found)
-            if filled > differ:
+        differ = differences(label)
+        parts = (differ + 1) * 13 // 10 + 1
+        for level in range(LEVELS):
+            tag = label * 4 + level
+            found = _sign(items, tag, (parts << level) if level < LEVELS - 1 else 0)
+            out.append((tag, found))
+            if len(found) > differ:
                 break
-    return np.concatenate(out)
+    return out
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
