@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 METADATA_KEY = "^[A-Za-z0-9][A-Za-z0-9._:/-]{0,63}$"
 MAX_KEYS, MAX_KEY_BYTES, MAX_VALUE_BYTES, MAX_METADATA_BYTES = 32, 64, 512, 4096
@@ -97,13 +98,13 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) != F.size(b)) | (norm == 0), F.lit(0.0)).otherwise(dot(a, b) / norm)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def truncate_utf8(text: pd.Series, most: pd.Series) -> pd.Series:
     """At most so many bytes, cut between characters."""
     return pd.Series([None if t is None else t.encode()[:n].decode(errors="ignore") for t, n in zip(text, most)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def gunzip(body: pd.Series) -> pd.Series:
     """Bodies of archives that were compressed one by one."""
     import gzip

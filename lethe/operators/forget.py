@@ -1,7 +1,7 @@
 """Consolidation and eviction: what a store forgets, why, and what it would forget.
 
 Decisions read narrow columns only; bodies enter as their sizes. Nothing is collected: doomed rows are
-tables. Eviction takes records in ascending order of (value, id) until the bytes taken reach the
+tables. Eviction takes records in ascending order of value (to nine decimals, so that a last bit decides nothing) and id until the bytes taken reach the
 excess, by a prefix sum whose partitions are ranges of that order, so no task holds the whole store.
 """
 
@@ -88,8 +88,8 @@ def evicted(rows: DataFrame, excess: int) -> DataFrame:
     """Of valued candidates, those that eviction takes: the least valuable, none of them retained, while the bytes taken are short of the excess."""
     if excess <= 0:
         return rows.limit(0).withColumn("freed_before", F.lit(0).cast("long"))
-    open_rows = rows.where(~F.col("retained")).withColumn("stored_bytes", F.col("body_bytes") + ROW_BYTES)
-    return prefix_sums(open_rows, ["value", "id"], "stored_bytes", "freed_before").where(F.col("freed_before") < excess).drop("stored_bytes")
+    open_rows = rows.where(~F.col("retained")).withColumn("stored_bytes", F.col("body_bytes") + ROW_BYTES).withColumn("place", F.round("value", 9))
+    return prefix_sums(open_rows, ["place", "id"], "stored_bytes", "freed_before").where(F.col("freed_before") < excess).drop("stored_bytes", "place")
 
 
 def used_bytes(memories: DataFrame, events: DataFrame, memory_links: DataFrame, event_links: DataFrame) -> DataFrame:
@@ -115,7 +115,8 @@ def retained_stats(memories: DataFrame, cutoff: int) -> DataFrame:
 
 def event_percentile(events: DataFrame, percent: float) -> DataFrame:
     """One row (significance): the nearest-rank percentile, unranked events counting as 0; null without events."""
-    return events.agg(F.expr(f"percentile_disc({percent / 100}) WITHIN GROUP (ORDER BY significance)").alias("significance"))
+    found = F.expr(f"percentile_disc({percent / 100}) WITHIN GROUP (ORDER BY significance)")
+    return events.agg(found.cast("int").alias("significance"))
 
 
 def default_event_significance(events: DataFrame, d: Decay) -> int:

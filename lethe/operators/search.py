@@ -30,7 +30,8 @@ def keyword_hits(memories: DataFrame, text: str, limit: int = 10) -> DataFrame:
     if not asked:
         raise InvalidArgument("a query needs a word")
     docs = memories.where(~F.col("is_binary")).select("id", query_terms(F.col("body")).alias("terms"))
-    tf = [F.size(F.filter("terms", lambda t, w=w: t == w)).alias(f"tf{i}") for i, w in enumerate(asked)]
+    times = lambda word: F.size(F.filter("terms", lambda t: t == word))
+    tf = [times(w).alias(f"tf{i}") for i, w in enumerate(asked)]
     counted = docs.select("id", F.size("terms").alias("dl"), *tf)
     totals = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(asked))))
     rows = counted.where(F.greatest(F.lit(0), *(F.col(f"tf{i}") for i in range(len(asked)))) > 0).join(F.broadcast(totals))
