@@ -38,7 +38,7 @@ FRAME = (
 
 def feed_frames(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(posts, undecodable) of JSON frames (value)."""
-    parsed = lines.withColumn("f", F.from_json("value", FRAME + ">"))
+    parsed = lines.withColumn("f", F.from_json("value", FRAME))
     good = parsed.where(F.col("f.did").isNotNull() & F.col("f.commit").isNotNull())
     record = F.col("f.commit.record")
     posts = good.select(
