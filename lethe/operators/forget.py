@@ -89,7 +89,16 @@ def evicted(rows: DataFrame, excess: int) -> DataFrame:
     if excess <= 0:
         return rows.limit(0).withColumn("freed_before", F.lit(0).cast("long"))
     open_rows = rows.where(~F.col("retained")).withColumn("stored_bytes", F.col("body_bytes") + ROW_BYTES).withColumn("place", F.round("value", 9))
-    return prefix_sums(open_rows, ["place", "id"], "stored_bytes", "freed_before").where(F.col("freed_before") < excess).drop("stored_bytes", "place")
+    # A histogram over coarse steps of value, of bounded size, tells up to which step the excess reaches,
+    # so that only the low tail is put in order.
+    step = F.when(F.col("place") <= 0, F.lit(-100_000)).otherwise(F.floor(F.log2("place") * 8).cast("int"))
+    taken, cut = 0, None
+    for r in open_rows.groupBy(step.alias("s")).agg(F.sum("stored_bytes").alias("b")).orderBy("s").collect():
+        taken, cut = taken + r.b, r.s
+        if taken >= excess:
+            break
+    tail = open_rows.where(step <= cut) if cut is not None else open_rows
+    return prefix_sums(tail, ["place", "id"], "stored_bytes", "freed_before").where(F.col("freed_before") < excess).drop("stored_bytes", "place")
 
 
 def used_bytes(memories: DataFrame, events: DataFrame, memory_links: DataFrame, event_links: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lethe.functions.text import cosine, query_terms
 from lethe.model import InvalidArgument, Ranking
+from lethe.sources.scratch import Scratch
 
 K1, B = 1.2, 0.75
 RRF = 60.0
@@ -22,17 +23,17 @@ def postings(memories: DataFrame) -> DataFrame:
 def keyword_hits(memories: DataFrame, text: str, limit: int = 10) -> DataFrame:
     """(id, score) by BM25 over documents with any of the query's terms.
 
-    The query's terms are few, so documents are cut down to their counts inside the scan and no
-    index is shuffled; memories come filtered.
+    The query's terms are few, so one scan cuts documents down to their counts and no index is
+    shuffled; memories come filtered.
     """
     spark = memories.sparkSession
     asked = sorted(set(spark.range(1).select(query_terms(F.lit(text))).first()[0]))
     if not asked:
         raise InvalidArgument("a query needs a word")
-    docs = memories.where(~F.col("is_binary")).select("id", query_terms(F.col("body")).alias("terms"))
-    times = lambda word: F.size(F.filter("terms", lambda t: t == word))
-    tf = [times(w).alias(f"tf{i}") for i, w in enumerate(asked)]
-    counted = docs.select("id", F.size("terms").alias("dl"), *tf)
+    text_of = F.lower("body")
+    times = lambda word: F.regexp_count(text_of, F.lit(rf"(?<![\p{{L}}\p{{N}}]){word}(?![\p{{L}}\p{{N}}])"))  # noqa: E731  words hold letters and digits only
+    docs = memories.where(~F.col("is_binary")).select("id", F.regexp_count(text_of, F.lit(r"[\p{L}\p{N}]+")).alias("dl"), *(times(w).alias(f"tf{i}") for i, w in enumerate(asked)))
+    counted = Scratch(spark, "keyword").write(docs, "counts")  # numbers only; bodies are read once
     totals = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(asked))))
     rows = counted.where(F.greatest(F.lit(0), *(F.col(f"tf{i}") for i in range(len(asked)))) > 0).join(F.broadcast(totals))
     score = F.lit(0.0)
