@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -133,17 +134,19 @@ def learn(texts: list[str], labels: list[int], share: float | None = None, least
         return float(np.log((a + 0.1) / (n1 + 0.2)) - np.log((b + 0.5 + 0.02 * a) / (n0 + 1)))
 
     found = [(gain(n, clean[w]), n, f" {w} ") for w, n in toxic.items() if n >= least]
-    heads: dict[str, Counter] = {}
-    for word, n in toxic.items():
-        for size in range(3, min(len(word), HEAD_CHARS)):
-            heads.setdefault(word[:size], Counter())[word] += n
-    heads = {h: c for h, c in heads.items() if c.total() >= 2 * least and len(c) >= 3 and max(c.values()) < 0.7 * c.total()}
+    heads = {}
+    ordered = sorted(toxic)
+    for size in range(3, HEAD_CHARS):
+        for head, same in groupby((w for w in ordered if len(w) > size), key=lambda w: w[:size]):
+            counts = [toxic[w] for w in same]
+            if len(counts) >= 3 and sum(counts) >= 2 * least and max(counts) < 0.7 * sum(counts):
+                heads[head] = sum(counts)
     clean_heads = Counter()
     for word, n in clean.items():
         for size in range(3, min(len(word) + 1, HEAD_CHARS)):
             if word[:size] in heads:
                 clean_heads[word[:size]] += n
-    found += [(gain(c.total(), clean_heads[h]), c.total(), f" {h}") for h, c in heads.items()]
+    found += [(gain(n, clean_heads[h]), n, f" {h}") for h, n in heads.items()]
     found = sorted((x for x in found if x[0] > 2.0), key=lambda x: (-x[0] * np.sqrt(x[1]), len(x[2])))
     taken: dict[str, float] = {}
     for value, _, term in found:
