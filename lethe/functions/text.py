@@ -188,3 +188,9 @@ def transfer_bytes() -> Column:
 def stale(now: int) -> Column:
     """Whether an instance's last sign of life is over two heartbeats old."""
     return F.when(F.col("heartbeat_seconds") > 0, F.lit(now) - F.col("last_seen") > 2 * F.col("heartbeat_seconds") * F.lit(1_000_000_000)).otherwise(F.lit(False))
+
+
+def parse_time(text: Column) -> Column:
+    """Nanoseconds of an RFC 3339 time; null if it isn't one."""
+    shape = text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt ][0-9]{2}:[0-9]{2}:[0-9]{2}([.][0-9]+)?([Zz]|[+-][0-9]{2}:[0-9]{2})$")
+    return F.when(shape, F.unix_micros(F.try_to_timestamp(F.upper(text))) * 1000)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Hashable
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lethe.model import EventFilter, InvalidArgument, MemoryFilter
@@ -109,3 +112,40 @@ def histogram(items: DataFrame) -> DataFrame:
     counts = items.where(F.col("significance") > 0).groupBy(band(F.col("significance")).alias("band")).agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
     return counts.join(F.broadcast(total)).select("band", "n", (F.col("n") * 100.0 / F.col("total")).alias("percent"))
+
+
+def floor_quantiles(rows: DataFrame, column: str, by: str, *quantiles: float) -> DataFrame:
+    """(by, n, q50, ...): the values at place floor(q * (n - 1)) of each group in ascending order.
+
+    Counts of distinct values are summed up, so a group's rows are combined before they are shuffled.
+    """
+    counts = rows.where(F.col(column).isNotNull()).groupBy(by, column).agg(F.count(F.lit(1)).alias("__c"))
+    order = Window.partitionBy(by).orderBy(column)
+    placed = counts.withColumn("__upto", F.sum("__c").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__n", F.sum("__c").over(Window.partitionBy(by)))
+    place = lambda q: F.floor(F.lit(q) * (F.col("__n") - 1))
+    picks = [F.min(F.when(F.col("__upto") > place(q), F.col(column))).alias(f"q{round(q * 100)}") for q in quantiles]
+    return placed.groupBy(by).agg(F.max("__n").alias("n"), *picks)
+
+
+@dataclass
+class CountCache:
+    """Totals of listings, kept for a while by everything in the filter but its page."""
+
+    seconds: float
+    clock: Callable[[], float]
+    most: int = 1000
+    held: dict[Hashable, tuple[float, int]] = field(default_factory=dict)
+
+    def get(self, kind: str, f: MemoryFilter | EventFilter, count: Callable[[], int]) -> int:
+        key = (kind, repr(f))
+        at, n = self.held.get(key, (None, 0))
+        if at is None or self.clock() - at > self.seconds:
+            n = count()
+            self.held.pop(key, None)
+            while len(self.held) >= self.most:
+                self.held.pop(next(iter(self.held)))
+            self.held[key] = (self.clock(), n)
+        return n
+
+    def reset(self) -> None:
+        self.held.clear()

@@ -619,3 +619,21 @@ def metadata_terms(spark, sf_dir):
 @query("transfer_sizes", f"WITH {MEM} SELECT sum(strlen(body) + strlen(id) + strlen(event_id) + strlen(group_name) + coalesce(strlen(m_json), 0) + 128)::BIGINT AS bytes FROM mem")
 def transfer_sizes(spark, sf_dir):
     return D.stored_memories(spark, sf_dir).agg(F.sum(T.transfer_bytes()).alias("bytes"))
+
+
+@query("latency_quantiles", "WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, max(n) AS n, max(value) FILTER (i = floor(0.5 * (n - 1))) AS q50, max(value) FILTER (i = floor(0.99 * (n - 1))) AS q99 FROM r GROUP BY event_type")
+def latency_quantiles(spark, sf_dir):
+    return listing.floor_quantiles(D.raw(spark, sf_dir, "events"), "value", "event_type", 0.5, 0.99)
+
+
+@query("parsed_times", "SELECT event_id, epoch_us(date_trunc('second', ts)) * 1000 - 3600000000000 AS nanos FROM events")
+def parsed_times(spark, sf_dir):
+    text = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'+01:00'")
+    return D.raw(spark, sf_dir, "events").select("event_id", T.parse_time(text).alias("nanos"))
+
+
+@query("cosine_by_label", "SELECT a.vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id = (SELECT min(vec_id) FROM embeddings c WHERE c.label = a.label)")
+def cosine_by_label(spark, sf_dir):
+    v = D.vectors(spark, sf_dir)
+    first = v.groupBy("label").agg(F.min_by("vector", "id").alias("first"))
+    return v.join(first, "label").select("id", F.round(T.cosine(F.col("vector"), F.col("first")), 6).alias("score"))

@@ -43,3 +43,17 @@ def summarise(memories: DataFrame, events: DataFrame, event_id: str, summariser:
     row = memories.where(F.col("id") == top.id).limit(1)
     row = row.withColumn("id", F.lit(f"summary-{event_id}-{now}")).withColumn("body", F.lit(text)).withColumn("timestamp", F.lit(now).cast("long"))
     return replace_with_summary(memories, event_id, row.withColumn("metadata", F.lit(None).cast("map<string,string>")))
+
+
+def automatic(memories: DataFrame, events: DataFrame, summariser: Summariser, now: int, least: int, quiet_nanos: int, limit: int = 10) -> tuple[DataFrame, list[str]]:
+    """(memories, event ids) after summarising the fullest quiet events, at most ``limit``; one that fails is passed over."""
+    from lethe.operators.forget import summarisation_candidates
+
+    done = []
+    for row in summarisation_candidates(memories, events, least, now - quiet_nanos, limit).collect():  # bounded by limit
+        try:
+            memories = summarise(memories, events, row.event_id, summariser, now)
+            done.append(row.event_id)
+        except InvalidArgument:
+            continue
+    return memories, done

@@ -13,10 +13,11 @@ from lethe.operators.mutate import insert_absent, invalid_reason, recall
 from lethe.sources.snapshots import Store
 
 
-def store_batch(store: Store, memories: DataFrame, now: int, minimum: int = 0) -> dict[str, int]:
+def store_batch(store: Store, memories: DataFrame, now: int, minimum: int = 0, dead_letters: str = "") -> dict[str, int]:
     """Store a micro-batch if absent and commit; returns how many were stored, there already, or refused.
 
-    A replayed batch finds its ids taken and changes nothing.
+    A replayed batch finds its ids taken and changes nothing. Refused rows are appended to dead_letters
+    with their reason, if a path is given, and never stop the stream.
     """
     snapshot = store.read()
     refused = invalid_reason(now).isNotNull() | ((F.col("significance") > 0) & (F.col("significance") < minimum))
@@ -24,6 +25,9 @@ def store_batch(store: Store, memories: DataFrame, now: int, minimum: int = 0) -
     there = snapshot.memories.select("id", F.lit(True).alias("__there"))
     told = batch.join(there, "id", "left").select("id", F.when(F.col("__refused"), "rejected").when(F.col("__there"), "exists").otherwise("stored").alias("outcome"))
     counts = {r["outcome"]: r["count"] for r in told.groupBy("outcome").count().collect()}
+    if dead_letters and counts.get("rejected"):
+        why = F.coalesce(invalid_reason(now), F.lit("significance"))
+        batch.where("__refused").withColumn("reason", why).drop("__refused").write.mode("append").parquet(dead_letters)
     good = batch.where(~F.col("__refused")).drop("__refused")
     levels = register_ranks(snapshot.levels, good)
     store.commit(snapshot.replace(levels=levels, memories=insert_absent(snapshot.memories, attach_levels(good, levels))))

@@ -1,6 +1,7 @@
 """Rules, ingestion and Structured Streaming."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -110,3 +111,49 @@ def test_topics(spark):
     got = topics.related(spark.createDataFrame(rows, "id string, terms array<string>"), 2, 1, 8).collect()
     assert {(r.id, r.other, r.shared) for r in got} == {("a", "b", 2), ("b", "a", 2), ("c", "a", 2)}
     assert topics.frequency_cap(1000, 5) == 50 and topics.frequency_cap(10, 5) == 8
+
+
+def test_topic_index_over_a_stream(spark, tmp_path):
+    from lethe.streaming.topics import related, shared_terms
+
+    path = f"file://{tmp_path}/posts"
+    for batch in ([("a", ["x", "y", "z"])], [("b", ["x", "y"]), ("c", ["z"])]):
+        spark.createDataFrame(batch, "id string, terms array<string>").coalesce(1).write.mode("append").parquet(path)
+    got = []
+    stream = spark.readStream.schema("id string, terms array<string>").option("maxFilesPerTrigger", 1).parquet(path)
+    q = shared_terms(stream).writeStream.foreachBatch(lambda df, _: got.extend(map(tuple, related(df).collect()))).option("checkpointLocation", f"file://{tmp_path}/cp").trigger(processingTime="1 second").start()
+    # Timeouts by processing time keep a query busy, so it is stopped once the second file has been seen.
+    until = time.time() + 90
+    while not got and time.time() < until:
+        time.sleep(0.5)
+    q.stop()
+    assert {(frozenset(x[:2]), x[2]) for x in got} == {(frozenset("ab"), 2)}
+
+
+def test_dead_letters_and_automatic_summaries(spark, tmp_path):
+    from lethe.model import DAY
+    from lethe.operators.relations import resolved
+    from lethe.plans.summarise import automatic
+
+    store = Store(spark, f"file://{tmp_path}/store")
+    messages = [("t", b"x", {"id": "a", "event": "e"}, NOW - 50 * DAY), ("t", b"y", {"id": "b", "event": "e"}, NOW - 50 * DAY), ("t", b"z", {"id": "c" * 200}, 1)]
+    batch = ingest.from_messages(spark.createDataFrame(messages, streams.MESSAGES), NOW)
+    assert live.store_batch(store, batch, NOW, dead_letters=f"file://{tmp_path}/dead") == {"stored": 2, "exists": 0, "rejected": 1}
+    assert [r.reason for r in spark.read.parquet(f"file://{tmp_path}/dead").collect()] == ["id"]
+    s = store.read()
+    events = spark.createDataFrame([("e", 0, 0, None, "E", "", False, 0, "t", None)], s.events.schema)
+    rows, done = automatic(resolved(s.memories, s.levels), resolved(events, s.levels), lambda name, group, bodies: "|".join(bodies), NOW, 2, 7 * DAY)
+    assert done == ["e"] and [r.body for r in rows.where("event_id = 'e'").collect()] == ["x|y"]
+
+
+def test_counts_are_kept_for_a_while():
+    from lethe.model import MemoryFilter
+    from lethe.operators.listing import CountCache
+
+    now, calls = [0.0], []
+    cache = CountCache(10, lambda: now[0], most=2)
+    count = lambda: calls.append(1) or len(calls)
+    assert cache.get("m", MemoryFilter(), count) == cache.get("m", MemoryFilter(), count) == 1
+    assert cache.get("m", MemoryFilter(group="g"), count) == 2
+    now[0] = 11
+    assert cache.get("m", MemoryFilter(), count) == 3
