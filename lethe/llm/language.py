@@ -10,7 +10,7 @@ Prototypes are fitted on the driver on a bounded sample (``per_lang`` documents
 chosen by hash, whole texts); every document is then compared in full.
 
 Defined cases: a null text or one without any letter is ``und`` with score 0; without learned
-languages every document is ``und``; null languages are not learned from; languages with few rows are
+languages every document is ``und``; null languages are not learned from; null doc_ids are not held out; languages with few rows are
 learned from all of them; repeated rows are judged alike; text without n-gram of three is padded by
 word ends, so a single letter has n-grams; an empty table gives an empty result.
 """
@@ -165,4 +165,4 @@ def identify(docs: DataFrame, profiles: Profiles, fold_of: int = 4, held: int =
             )
 
     out = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
-    return out.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % fold_of == held).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % fold_of == held, F.lit(False)).alias("held_out"), "lang_pred", "score")
