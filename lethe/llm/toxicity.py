@@ -10,7 +10,7 @@ The lexicon is fitted on the driver on a bounded sample of labelled rows (``per_
 each label, chosen by hash); scoring covers every document in full.
 
 Defined cases: null and empty texts score as a text without hits; null labels are not learned from;
-repeated rows score alike, repeated labels of a document count once with the largest; with one label
+repeated rows score alike, null doc_ids are not held out, repeated labels of a document count once with the largest; with one label
 only, or no labels, every document scores the share of toxic labels (0 without labels); an empty table
 gives an empty result; further columns pass through ``drop_toxic`` unchanged.
 """
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lethe.llm.common import bounded_batches
+from lethe.llm.common import bounded_batches, small
 
 # Letters of other scripts that look like Latin ones, and digits or marks written for letters.
 HOMOGLYPHS = {
@@ -223,7 +223,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = 4000, **folds) -> L
     for label, n in counts.items():
         chance = F.when(F.col("toxic") == label, F.lit(min(1.0, per_label / n))).otherwise(chance)
     spot = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20)) / float(1 << 20)
-    sample = docs.select("doc_id", "text").join(rows.where(spot < chance), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id")
+    chosen = rows.where(spot < chance)
+    # Broadcast within the sample's bound, with room for chance; texts then stay where they are read.
+    wanted = small(chosen, chosen.count(), 4 * per_label)
+    sample = docs.select("doc_id", "text").join(wanted, "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id")
     got = sample.select("text", "toxic").toPandas()  # bounded by per_label for each label
     total = sum(counts.values())
     return learn([x or "" for x in got["text"]], [int(x) for x in got["toxic"]], counts.get(1, 0) / total if total else None)
@@ -252,7 +255,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, fold_of: int = 5, held: int = 0
     out = score(docs, fit(docs, labels, fold_of=fold_of, held=held, **options))
     return out.select(
         "doc_id",
-        (F.crc32(F.col("doc_id").cast("string")) % fold_of == held).alias("held_out"),
+        F.coalesce(F.crc32(F.col("doc_id").cast("string")) % fold_of == held, F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
         "terms",
