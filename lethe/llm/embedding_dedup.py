@@ -8,8 +8,9 @@
    get a list twice as long. Rounds end when few lists change.
 4. An audit compares a bounded sample of vectors with all others, and further leaves and rounds follow
    while too few of its links are connected.
-5. Edges at or above the threshold stay; their components are the groups. Inside a group, blocks count
-   each vector's links exactly, however long its list was, without emitting pairs.
+5. Edges at or above the threshold stay; their components are the groups. Inside a group each vector's
+   links are counted exactly, however long its list was: around a large group's centre all are linked
+   and needn't be compared, and blocks count the rest without emitting pairs.
 
 Defined cases: vectors that are null, empty or zero, or hold null or non-finite components, link with
 nothing; vectors of different lengths link with nothing; scaled copies have cosine 1; repeated vec_ids
@@ -248,21 +249,92 @@ def near_links(
 
 
 def _link_counts(classes: DataFrame, found: DataFrame, scratch: Scratch, threshold: float, block: int) -> DataFrame:
-    """(id, links): the weights of the other classes of the component at or above the threshold."""
+    """(id, links): the weights of the other classes of the component at or above the threshold.
+
+    A component of up to ``block`` classes is compared in one block. In a larger one, the vectors
+    within half the threshold's angle of its centre are all linked with each other, by the triangle
+    inequality, and are counted without being compared; only the others meet the whole component, in
+    blocks.
+    """
+    sizes = scratch.write(found.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "component-sizes")
     members = classes.join(found, "id").select("id", "raw", "weight", "component")
-    counts = scratch.write(members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("chunks")), "chunks")
-    members = members.join(counts, "component").withColumn("c", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    pairs = members.withColumn("o", other).select("component", F.least("c", "o").alias("x"), F.greatest("c", "o").alias("y"), "c", "id", "weight", "raw")
+    members = scratch.write(members.join(sizes, "component"), "members")
 
-    def run(table: pa.Table) -> pa.Table:
-        ids, weight, c = (table.column(k).to_numpy() for k in ("id", "weight", "c"))
+    def one_block(table: pa.Table) -> pa.Table:
+        near = (x := unit(table.column("raw").to_pylist())) @ x.T >= threshold
+        np.fill_diagonal(near, False)
+        return pa.table({"id": table.column("id"), "links": near @ table.column("weight").to_numpy()})
+
+    counts = members.where(F.col("n") <= block).groupBy("component").applyInArrow(one_block, "id long, links long")
+    large = members.where(F.col("n") > block)
+    if not large.isEmpty():
+        counts = counts.union(_large_counts(large, scratch, threshold, block))
+    return counts.groupBy("id").agg(F.sum("links").alias("links"))
+
+
+def _large_counts(large: DataFrame, scratch: Scratch, threshold: float, block: int) -> DataFrame:
+    """(id, links) parts for the vectors of large components."""
+    inner = math.sqrt((1 + threshold) / 2) + 1e-9  # cosine of half the angle, on the safe side
+
+    def partial(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for component, x in zip(batch.column("component").to_pylist(), unit(batch.column("raw").to_pylist()) if len(batch) else ()):
+                sums[component] = sums[component] + x if component in sums else x
+            if len(sums) > 10_000:
+                yield _sum_rows(sums)
+                sums = {}
+        if sums:
+            yield _sum_rows(sums)
+
+    def whole(table: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(r, "<f8") for r in table.column("raw").to_pylist()], axis=0)
+        return pa.table({"component": table.column("component").slice(0, 1), "centre": pa.array([total.tobytes()], pa.binary())})
+
+    centres = large.mapInArrow(partial, "component long, raw binary").groupBy("component").applyInArrow(whole, "component long, centre binary")
+    centres = scratch.write(centres, "centres")
+
+    def place(batches):
+        for batch in batches:
+            x, c = (np.stack([np.frombuffer(r, "<f8") for r in batch.column(k).to_pylist()]) if len(batch) else np.zeros((0, 1)) for k in ("raw", "centre"))
+            size = np.linalg.norm(x, axis=1) * np.linalg.norm(c, axis=1)
+            core = np.einsum("ij,ij->i", x, c) >= inner * np.maximum(size, 1e-300)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in names[:-1]), pa.array(core)], names)
+
+    names = ["id", "raw", "weight", "component", "n", "core"]
+    rows = large.join(centres, "component").select(*names[:-1], "centre")
+    placed = scratch.write(rows.mapInArrow(place, "id long, raw binary, weight long, component long, n long, core boolean"), "placed")
+    totals = placed.groupBy("component").agg(F.sum(F.when(F.col("core"), F.col("weight")).otherwise(0)).alias("inside"), F.count_if(~F.col("core")).alias("m"))
+    placed = scratch.write(placed.join(scratch.write(totals, "totals"), "component"), "told")
+    inside = placed.where("core").select("id", (F.col("inside") - F.col("weight")).alias("links"))
+    chunks = lambda n: F.greatest(F.lit(1), F.ceil(2 * n / block)).cast("int")
+    rows = placed.where(F.col("m") > 0).withColumn("xs", chunks(F.col("m"))).withColumn("ys", chunks(F.col("n")))
+    spot, each = F.xxhash64("id"), lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    left = rows.where(~F.col("core")).select("component", F.pmod(spot, "xs").cast("int").alias("x"), each("ys").alias("y"), "id", "weight", "raw", F.lit(True).alias("asks"), F.lit(False).alias("told"))
+    right = rows.select("component", each("xs").alias("x"), F.pmod(spot, "ys").cast("int").alias("y"), "id", "weight", "raw", F.lit(False).alias("asks"), F.col("core").alias("told"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids, weight, asks, told = (table.column(k).to_numpy() for k in ("id", "weight", "asks", "told"))
         x = unit(table.column("raw").to_pylist())
-        first, second = np.flatnonzero(c == c.min()), np.flatnonzero(c == c.max())
-        near = x[first] @ x[second].T >= threshold
-        if c.min() == c.max():
-            np.fill_diagonal(near, False)
-            return pa.table({"id": ids[first], "links": near @ weight[second]})
-        return pa.table({"id": np.concatenate([ids[first], ids[second]]), "links": np.concatenate([near @ weight[second], near.T @ weight[first]])})
-
-    return pairs.groupBy("component", "x", "y").applyInArrow(run, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
+        a, b = np.flatnonzero(asks), np.flatnonzero(~asks)
+        near = (x[a] @ x[b].T >= threshold) & (ids[a][:, None] != ids[b][None, :])
+        mine, theirs = near @ weight[b], (near.T @ weight[a])[told[b]]
+        return pa.table({"id": np.concatenate([ids[a], ids[b][told[b]]]), "links": np.concatenate([mine, theirs])})
+
+    return inside.union(left.union(right).groupBy("component", "x", "y").applyInArrow(compare, "id long, links long"))
+
+
+def _sum_rows(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["component", "raw"])
+
+
+SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                       AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+r(id, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.y, r.root FROM r JOIN l ON r.id = l.x),
+c AS (SELECT id, min(root) AS component_id FROM r GROUP BY id),
+d AS (SELECT x, count(*) AS n FROM l GROUP BY x)
+SELECT m.vec_id, coalesce(d.n, 0)::BIGINT AS n_links, c.component_id, m.vec_id = c.component_id AS kept
+FROM embeddings m JOIN c ON m.vec_id = c.id LEFT JOIN d ON d.x = m.vec_id
+"""

@@ -352,3 +352,18 @@ def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
     gone = sizes.join(classes, "digest").where(F.col("doc_id") != F.col("component")).select(F.col("doc_id").alias("__gone")).distinct()
     kept = docs.join(gone, F.coalesce(docs["doc_id"], F.lit(NO_ID)) == gone["__gone"], "left_anti")
     return kept.select(*docs.columns)
+
+
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+        ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS shingle FROM w),
+n AS (SELECT w.doc_id, count(s.shingle) AS n FROM w LEFT JOIN s ON w.doc_id = s.doc_id GROUP BY w.doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON p.x = a.doc_id JOIN n b ON p.y = b.doc_id WHERE 100 * o >= 80 * (a.n + b.n - o)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(id, root) AS (SELECT doc_id, doc_id FROM n UNION SELECT e.y, r.root FROM r JOIN e ON r.id = e.x),
+c AS (SELECT id, min(root) AS component_id FROM r GROUP BY id)
+SELECT n.doc_id, n.n::BIGINT AS n_shingles, c.component_id FROM n JOIN c ON n.doc_id = c.id
+"""

@@ -54,4 +54,9 @@ def queries():
 
 
 def oracle_sql():
-    return {"op6_mix_sources": mixing.SQL, "op9_line_dedup": line_dedup.SQL}
+    return {
+        "op1_ngram_join": ngram_join.SQL,
+        "op6_mix_sources": mixing.SQL,
+        "op9_line_dedup": line_dedup.SQL,
+        "op10_embedding_dedup": embedding_dedup.SQL,
+    }

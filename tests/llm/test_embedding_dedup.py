@@ -55,6 +55,21 @@ def test_matches_brute_force(spark):
     assert got == want
 
 
+def test_large_groups_inside_and_apart(spark):
+    """Groups of which all, some and few vectors lie near the centre, with copies among them."""
+    r = np.random.default_rng(8)
+    rows, at = [], 0
+    for spread in (0.02, 0.035, 0.05):
+        one = r.standard_normal(32)
+        one /= np.linalg.norm(one)
+        for _ in range(90):
+            rows.append((at, [float(np.float32(v)) for v in one + spread * r.standard_normal(32)]))
+            at += 1
+    rows += [(1000 + i, x) for i, x in rows[::7]]
+    want, got = brute(rows), run(spark, rows, block=16)
+    assert got == want
+
+
 def test_sf001_embeddings(spark):
     vectors = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
     rows = [(r.vec_id, r.embedding) for r in vectors.collect()]
