@@ -201,15 +201,23 @@ def features(nodes: list[Node]) -> tuple[np.ndarray, np.ndarray]:
     class_at = {c: 1 + len(KIND_NAMES) + i for i, c in enumerate(CLASS_NAMES)}
     base = 1 + len(KIND_NAMES) + len(CLASS_NAMES)
     x[:, 0] = 1
+    holds = [False] * len(nodes)  # whether a node holds or is a marked article
+    for i in range(len(nodes) - 1, 0, -1):
+        holds[i] = holds[i] or kind_of(nodes[i].tag) == "body" or bool(nodes[i].names) and "good" in classes_of(nodes[i])
+        holds[nodes[i].parent] |= holds[i]
     nearest = [0] * len(nodes)  # of the marked elements around a node, what the innermost is: 1 good, -1 bad
     for i, node in enumerate(nodes):
+        around = nearest[node.parent] if i else 0
         kind = COUPLED[kind_of(node.tag)]
+        if kind == COUPLED["header"] and around > 0:
+            kind = COUPLED["div"]  # an article's own header holds its title
         kinds[i] = kind
         x[i, 1 + kind] = 1
-        found = classes_of(node) if node.names else ()
+        found = classes_of(node) if node.names and kind != COUPLED["root"] else set()
+        if holds[i] and node.chars > 0.6 * total:
+            found &= {"good"}  # names of what wraps the page tell of its parts
         for c in found:
             x[i, class_at[c]] = 1
-        around = nearest[node.parent] if i else 0
         if kind in BAD_KINDS or any(c != "good" for c in found):
             nearest[i] = -1
         else:
@@ -273,7 +281,7 @@ class TreeModel:
         return "\n".join(n.text[0] for n, q in zip(nodes, p) if n.text and q > threshold)
 
 
-def train(pages: list[tuple[str, list[str]]], passes: int = 400, ridge: float = 0.002) -> TreeModel:
+def train(pages: list[tuple[str, list[str]]], passes: int = 400, ridge: float = 0.001) -> TreeModel:
     """A model from labelled pages: html and the texts of its content blocks in page order.
 
     A block is content if it is the next one of the page's texts; an element is content if most of its
@@ -349,8 +357,9 @@ class PageMaker:
         items = "".join(f'<li><a href="/{i}">{self.r.choice(_NAV) if self.r.random() < 0.6 else self.words(1, 2)}</a></li>' for i in range(self.r.randint(2, 9)))
         return self.box(("menu", "nav", "navbar", "main-menu", "breadcrumbs"), f"<ul>{items}</ul>", ("nav", "nav", "div", "menu"))
 
-    def boilerplate(self) -> str:
-        r, pick = self.r, self.r.randrange(9)
+    def boilerplate(self, inside: bool = False) -> str:
+        r = self.r
+        pick = r.choice((0, 1, 2, 3, 4, 5, 7)) if inside else r.randrange(9)
         if pick == 0:
             return self.box(("ad", "ads", "advert", "banner", "promo-box", "ad-slot"), r.choice((self.words(2, 40), f"<p>{self.words(5, 40)}</p>", self.words(3, 12) + "<br>" + self.words(2, 10))), ("div", "div", "aside", "section"))
         if pick == 1:
@@ -388,8 +397,11 @@ class PageMaker:
             out.append(f"<{tag}>{'<b>' if soup else ''}{shown}{'<br>' if soup else ''}{f'</{tag}>' if closed and not soup else ''}")
 
         if r.random() < 0.85:
+            own = r.random() < 0.2
+            out.append("<header>" if own else "")
             block("h1" if r.random() < 0.8 else "h2", self.words(1, 14))
-        for _ in range(r.randint(1, 14)):
+            out.append("</header>" if own else "")
+        for _ in range(r.choice((1, r.randint(1, 14), r.randint(1, 14), r.randint(1, 14)))):
             kind = r.random()
             if kind < 0.7:
                 block("p", self.words(*r.choice(((1, 3), (3, 12), (12, 60), (60, 150)))), closed=r.random() < 0.8, soup=r.random() < 0.15)
@@ -410,7 +422,9 @@ class PageMaker:
                     block("td", self.words(1, 6))
                 out.append("</tr></table>")
             if r.random() < 0.05:
-                out.append(self.boilerplate())
+                out.append(self.boilerplate(inside=True))
+            elif r.random() < 0.05:
+                out.append(f"<p {r.choice(('style="display:none"', 'class="visually-hidden"', 'aria-hidden="hidden"'))}>{self.words(2, 12)}</p>")
         return "".join(out), texts
 
     def page(self) -> tuple[str, list[str]]:
@@ -426,7 +440,7 @@ class PageMaker:
         elif wrap == 5:
             inner = f'<div class="{r.choice(("content", "article-body", "post-content", "entry", "story", "main-text"))}">{inner}</div>'
         else:
-            inner = f'<div id="wrap"><div class="col">{inner}</div></div>'
+            inner = f'<div id="wrap"><div class="col">{inner.replace("<header>", "").replace("</header>", "")}</div></div>'
         if r.random() < 0.25:
             inner = f'<div class="{r.choice(("container", "page", "wrapper", "row", "layout"))}">{inner}</div>'
         before = "".join(self.boilerplate() for _ in range(r.randint(0, 3)))
@@ -434,10 +448,13 @@ class PageMaker:
         top = self.nav() if r.random() < 0.8 else ""
         end = self.footer() if r.random() < 0.85 else ""
         title = self.words(1, 8)
-        return f"<!DOCTYPE html><html><head><title>{title}</title><style>p{{}}</style></head><body>{top}{before}{inner}{after}{end}{r.choice(('</body></html>', ''))}", texts
+        everything = f"{top}{before}{inner}{after}{end}" if r.random() < 0.94 else inner
+        if wrap != 6 and r.random() < 0.15:  # named after its parts
+            everything = f'<div class="{r.choice(("with-sidebar", "has-header", "page menu-left"))}">{everything}</div>'
+        return f"<!DOCTYPE html><html><head><title>{title}</title><style>p{{}}</style></head><body{r.choice(("", "", ' class="single has-sidebar"'))}>{everything}{r.choice(('</body></html>', ''))}", texts
 
 
-def labelled_pages(n: int = 600, seed: int = 11) -> list[tuple[str, list[str]]]:
+def labelled_pages(n: int = 1000, seed: int = 11) -> list[tuple[str, list[str]]]:
     maker = PageMaker(seed)
     return [maker.page() for _ in range(n)]
 

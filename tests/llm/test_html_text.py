@@ -51,6 +51,14 @@ def test_repairs(model):
     assert model.extract("<article><p>Text.<script>var a='<p>no</p>'</script><style>p{}</style><!-- no --></p></article>") == "Text."
 
 
+def test_names_of_wrappers_and_own_headers(model):
+    page = """<html><body class="single has-sidebar menu-open"><div id="page" class="with-sidebar"><header class="masthead"><p>The Site</p></header>
+    <main><article><header><h1>The title</h1></header><p>A paragraph of the story, long enough to be one.</p><figure><figcaption>A caption.</figcaption></figure>
+    <div class="share">Share this</div><p style="display:none">Hidden words of no use.</p></article></main>
+    <div role="navigation"><a href="/">Home</a> <a href="/a">About us</a></div><div id="cookie-banner"><p>We use cookies here.</p></div></div></body></html>"""
+    assert model.extract(page).split("\n") == ["The title", "A paragraph of the story, long enough to be one.", "A caption."]
+
+
 def test_defined_cases(spark, model):
     for text in (None, "", "   ", "<html></html>", "<script>x", "<!-- open", "<"):
         assert model.extract(text) in ("", "<")
