@@ -89,6 +89,7 @@ def evicted(rows: DataFrame, excess: int) -> DataFrame:
     if excess <= 0:
         return rows.limit(0).withColumn("freed_before", F.lit(0).cast("long"))
     open_rows = rows.where(~F.col("retained")).withColumn("stored_bytes", F.col("body_bytes") + ROW_BYTES).withColumn("place", F.round("value", 9))
+    open_rows = Scratch(rows.sparkSession, "evict").write(open_rows, "open")  # valued once, read by the steps below
     # A histogram over coarse steps of value, of bounded size, tells up to which step the excess reaches,
     # so that only the low tail is put in order.
     step = F.when(F.col("place") <= 0, F.lit(-100_000)).otherwise(F.floor(F.log2("place") * 8).cast("int"))
