@@ -36,7 +36,7 @@ _OTHER = re.compile(r"[\W\d_]+")
 def letters(text: str | None) -> str:
     """Lower-cased words of letters with a space on both sides; empty without letters."""
     words = _OTHER.sub(" ", (text or "").lower()).strip()
-    return f" {words} " if words else ""
+    return f" {words} " if any(map(str.isalpha, words)) else ""  # the pattern also lets fractions and the like through
 
 
 class Grams:

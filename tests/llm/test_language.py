@@ -55,7 +55,7 @@ def test_refilled_table_changes_nothing(monkeypatch):
 
 
 def test_defined_cases(spark):
-    docs = spark.createDataFrame([(1, None, "aa"), (2, "", None), (3, "12 34 !?", "aa"), (4, "ka", "aa"), (4, "ka", "aa"), (None, "x", None)], "doc_id long, text string, lang string")
+    docs = spark.createDataFrame([(1, None, "aa"), (2, "", None), (3, "12 34 !? ½ ²", "aa"), (4, "ka", "aa"), (4, "ka", "aa"), (None, "x", None)], "doc_id long, text string, lang string")
     got = sorted((r.doc_id or 0, r.lang_pred, r.score) for r in language.identify(docs, language.fit(docs)).collect())
     assert [x[1] for x in got] == ["aa", "und", "und", "und", "aa", "aa"]
     none = language.fit(docs.where("lang IS NULL"))
