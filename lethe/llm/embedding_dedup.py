@@ -5,7 +5,7 @@
    is too full takes further bits, and vectors too alike for that are dealt to leaves by salt.
 3. NN-descent: around each vector its neighbours and a sample of its reverse neighbours are compared
    with each other, and each keeps its nearest. Vectors whose list is full of links are saturated and
-   get a list twice as long. Rounds end when few lists change.
+   get a list twice as long. Rounds end when few lists change, or no change is a link.
 4. An audit compares a bounded sample of vectors with all others, and further leaves and rounds follow
    while too few of its links are connected.
 5. Edges at or above the threshold stay; their components are the groups. Inside a group each vector's
@@ -34,14 +34,29 @@ from lethe.llm.components import connected_components
 BITS = 48
 
 
+def pack(vector: np.ndarray) -> bytes:
+    """A vector as bytes: a mark for the precision that holds it exactly, and its components.
+
+    Doubles are scaled first, so that no square overflows.
+    """
+    single = vector.astype("<f4")
+    if (single == vector).all():
+        return b"4" + single.tobytes()
+    return b"8" + (vector / np.abs(vector).max()).tobytes()
+
+
+def unpack(raw: list[bytes]) -> np.ndarray:
+    return np.stack([np.frombuffer(r, "<f4" if r[:1] == b"4" else "<f8", offset=1) for r in raw]).astype("<f8")
+
+
 def unit(raw: list[bytes]) -> np.ndarray:
     """Rows of unit vectors in double precision."""
-    x = np.stack([np.frombuffer(r, "<f8") for r in raw])
+    x = unpack(raw)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _checked(vectors: DataFrame) -> DataFrame:
-    """(id, dim, key, raw) of the vectors that can link; raw is scaled so that no square overflows."""
+    """(id, dim, key, raw) of the vectors that can link."""
 
     def run(batches):
         for batch in batches:
@@ -52,7 +67,7 @@ def _checked(vectors: DataFrame) -> DataFrame:
                 v = np.asarray(x, "<f8")
                 top = np.abs(v).max()
                 if np.isfinite(top) and top > 0:
-                    raw = (v / top).tobytes()
+                    raw = pack(v)
                     out.append((vec_id, len(v), hashlib.blake2b(raw, digest_size=16).digest(), raw))
             cols = zip(*out) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["id", "dim", "key", "raw"])
@@ -219,7 +234,6 @@ def near_links(
         edges = _leaf_edges(classes, n, scratch, f"leaves-{attempt}", k, trees, leaf, seed=101 + attempt)
         edges = edges if lists is None else edges.union(lists)
         lists = scratch.write(_nearest(edges, k), f"lists-{attempt}-0")
-        changed = None
         for step in range(1, rounds + 1):
             # A list full of links is saturated and may grow to twice its length, up to ``most``.
             full = lists.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("low"))
@@ -227,8 +241,8 @@ def near_links(
             sizes = scratch.write(full.select("u", grown.alias("k")), f"sizes-{attempt}-{step}")
             new = scratch.write(_descend(lists, sizes, classes, scratch, f"round-{attempt}-{step}", threshold, k), f"lists-{attempt}-{step}")
             fresh = new.join(lists, ["u", "v"], "left_anti").agg(F.count(F.lit(1)), F.count_if(F.col("sim") >= threshold)).first()
-            lists, before, changed = new, changed, fresh
-            if fresh[0] <= little * k * n or (fresh[1] == 0 and before is not None):
+            lists = new
+            if fresh[0] <= little * k * n or not fresh[1]:
                 break
         links = lists.where(F.col("sim") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b"))
         found = scratch.write(connected_components(links, scratch, f"links-{attempt}"), f"found-{attempt}")
@@ -296,7 +310,9 @@ def _large_counts(large: DataFrame, scratch: Scratch, threshold: float, block: i
 
     def place(batches):
         for batch in batches:
-            x, c = (np.stack([np.frombuffer(r, "<f8") for r in batch.column(k).to_pylist()]) if len(batch) else np.zeros((0, 1)) for k in ("raw", "centre"))
+            if not len(batch):
+                continue
+            x, c = unpack(batch.column("raw").to_pylist()), np.stack([np.frombuffer(r, "<f8") for r in batch.column("centre").to_pylist()])
             size = np.linalg.norm(x, axis=1) * np.linalg.norm(c, axis=1)
             core = np.einsum("ij,ij->i", x, c) >= inner * np.maximum(size, 1e-300)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in names[:-1]), pa.array(core)], names)
