@@ -21,6 +21,7 @@ from __future__ import annotations
 import string
 import zlib
 from bisect import bisect_right, insort
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +34,15 @@ from lethe.llm.common import bounded_batches
 TIERS = (512, 1024, 2048, 4096)
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier long, step_group long"
 MEMO_WORDS = 1_000_000
+SPECIAL = b"<|"
 MARKS = string.punctuation.encode()
 
 
 class WordIds(dict):
     """Ids of a word as packed little-endian 32-bit numbers; bounded, and refilled when full.
 
+    For tokenizers that lower-case and drop white space.
+
     White space never lies inside a token of a tokenizer that drops it, so texts can be encoded word
     by word. ASCII marks that close a word of letters are apart from it there. Unknown words of
     letters alone are encoded in one call, as one text: each ends with the only token that closes a
@@ -76,6 +80,8 @@ class WordIds(dict):
             self[w] = self[stem] + self[w[len(stem) :]]
 
     def text(self, text: bytes) -> bytes:
+        if SPECIAL not in text:  # case tells special strings apart, and nothing else
+            text = text.lower()
         words = text.split()
         fresh = [w for w in set(words) if w not in self]
         if fresh and len(self) + len(fresh) > MEMO_WORDS:
@@ -86,6 +92,17 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, words))
 
 
+@lru_cache(2)
+def word_ids(source: str) -> WordIds:
+    """The memo of a tokenizer, kept as long as a Python worker lives, so that later tasks find it filled."""
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return WordIds(Tokenizer.from_str(source))
+
+
 class Packer:
     """Packs one partition's pieces; rows come out as lists for the schema's columns."""
 
@@ -173,12 +190,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, tiers=TIERS, step_tokens:
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def run(batches):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        words = WordIds(Tokenizer.from_str(shipped.value))
+        words = word_ids(shipped.value)
         packer = Packer(TaskContext.get().partitionId(), tiers, step_tokens)
 
         def out():

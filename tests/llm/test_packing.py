@@ -44,7 +44,7 @@ def check(rows, pieces, window=4096):
 def test_round_trip(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    odd = [(90001, None), (90002, ""), (90003, "a" * 30000), (90004, "x<|endoftext|>y, Don't. İstanbul, é z\u001cq 1,2.3"), (90005, "word " * 9000), (None, "no id")]
+    odd = [(90001, None), (90002, ""), (90003, "a" * 30000), (90004, "x<|endoftext|>y, Don't. <|ENDOFTEXT|> İstanbul, é z\u001cq 1,2.3"), (90005, "word " * 9000), (None, "no id")]
     everything = docs.union(spark.createDataFrame(odd, docs.schema)).repartition(3)
     pieces = packing.pack(everything, PATH).collect()
     assert check(rows + odd, pieces) == 0
