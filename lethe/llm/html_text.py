@@ -42,7 +42,7 @@ CLOSES_P = frozenset(
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": (), "tbody": ("thead", "tr", "td", "th")}
 LIST_ROOTS = frozenset("ul ol menu dl table".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)[^>]*+>", re.S)
 _ATTR = re.compile(r"(?:class|id|role|itemprop|hidden|aria-hidden|style)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPACE = re.compile(r"\s+")
 _NAME_WORDS = re.compile(r"[a-z]+")
@@ -99,12 +99,12 @@ def parse(html: str) -> list[Node]:
             break
         add_text(html[at : m.start()])
         at = m.end()
-        name = m[2]
+        name = m[2] or m[5]  # the second form has an unclosed quote
         if name is None:
             continue
-        tag, closing = name.lower(), m[1]
+        tag, closing, attributes = name.lower(), m[1] or m[4], m[3] or ""
         if tag in RAW:
-            if not closing and not m[3].rstrip().endswith("/"):
+            if not closing and not attributes.rstrip().endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
                 at = end.end() if end else n
             if tag not in ("svg", "math"):
@@ -131,7 +131,7 @@ def parse(html: str) -> list[Node]:
                 close({t}, LIST_ROOTS)
         if tag in VOID or tag in ("html", "body") and any(x.tag == tag for x in nodes[:4]):
             continue
-        names = " ".join(a or b or c for a, b, c in _ATTR.findall(m[3])).lower() if m[3] else ""
+        names = " ".join(a or b or c for a, b, c in _ATTR.findall(attributes)).lower() if attributes else ""
         top = stack[-1]
         nodes.append(Node(tag, names, top, nodes[top].depth + 1))
         if len(stack) < MAX_DEPTH:

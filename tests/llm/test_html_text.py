@@ -46,6 +46,7 @@ def test_sample_pages(spark, model):
 def test_repairs(model):
     page = "<nav><ul><li><a href=x>Home</a><li><a href=y>News</a></ul></nav><article><h1>A &amp; B</h1><p>One <b>bold\n word<p>Two<br>lines &lt;here&gt;.<div>Three &#233;</div></article><footer>&copy; Me</footer>"
     assert model.extract(page) == "A & B\nOne bold word\nTwo lines <here>.\nThree é"
+    assert model.extract('<article><h1>T</h1><p class="x>Unclosed quotes stay markup.</p></article>') == "T\nUnclosed quotes stay markup."
     side = "<article><p>The story itself is here, at length.</p></article><aside><p>Read also this other story of ours.</p></aside><div class='comments'><p>Nice article, I liked it.</p></div><form><p>Your mail</p><button>Send</button></form>"
     assert model.extract(side) == "The story itself is here, at length."
     assert model.extract("<article><p>Text.<script>var a='<p>no</p>'</script><style>p{}</style><!-- no --></p></article>") == "Text."
