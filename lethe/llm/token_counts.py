@@ -15,6 +15,8 @@ table gives an empty result and leaves the cache as it was. One writer at a time
 from __future__ import annotations
 
 import hashlib
+import os
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -49,7 +51,10 @@ def tokenizer_source(path: str) -> tuple[str, bytes]:
         return ("sentencepiece" if path.endswith(".model") else "tokenizers"), file.read()
 
 
+@lru_cache(2)
 def _counter(kind: str, source: bytes):
+    """A function from texts to counts, kept as long as a Python worker lives."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if kind == "sentencepiece":
         import sentencepiece
 
@@ -69,9 +74,6 @@ def count_texts(texts: DataFrame, path: str) -> DataFrame:
     shipped = texts.sparkSession.sparkContext.broadcast(tokenizer_source(path))  # one vocabulary file
 
     def count(batches):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         counter = _counter(*shipped.value)
         for batch in batches:
             found, chunk, held = [], [], 0
