@@ -1,6 +1,7 @@
 """N-gram Jaccard join with signature trees.
 
-1. Each text's shingle set gets a digest; equal sets are one class, joined through its smallest doc_id.
+1. Each text's shingle set gets a digest; equal sets are one class, whatever rows hold them. A class goes
+   by a 64-bit key of its digest, and by its smallest doc_id in the result.
 2. Segment signatures (see ``shingles``) bring sets together that may be similar. They are shuffled as
    packed arrays and counted; each set keeps the rarest of its shared ones, as many as the similarity
    demands, and what meets in those becomes star edges, whose components are the candidate groups. No
@@ -14,7 +15,8 @@
    blocks of the group, which makes the result exact.
 
 Defined cases: texts without words have an empty set, link with nothing and are their own component;
-rows that repeat a doc_id are one document; null doc_ids are one document; repeated rows each get a row;
+rows that repeat a doc_id are one document, which connects its texts; null doc_ids are one document;
+repeated rows each get a row;
 an empty table gives an empty result; other columns pass through ``drop_near_copies`` unchanged.
 """
 
@@ -40,18 +42,24 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
 
+def class_key(found: bytes) -> int:
+    """A 64-bit name of a class, from its digest."""
+    return int.from_bytes(found[:8], "little", signed=True)
+
+
 def set_sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, digest) of each row; no digest for an empty set."""
+    """(doc_id, n_shingles, digest, key) of each row; no digest and key for an empty set."""
 
     def run(batches):
         for batch in batches:
             sets = [shingle_set(x) for x in batch.column("text").to_pylist()]
+            digests = [digest(x) if len(x) else None for x in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([digest(x) if len(x) else None for x in sets], pa.binary())],
-                ["doc_id", "n_shingles", "digest"],
+                [batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([x and class_key(x) for x in digests], pa.int64())],
+                ["doc_id", "n_shingles", "digest", "key"],
             )
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n_shingles long, digest binary")
+    return _texts(docs).mapInArrow(run, "doc_id long, n_shingles long, digest binary, key long")
 
 
 def _planes(ids: np.ndarray) -> bytes:
@@ -64,50 +72,46 @@ def _unplanes(data: bytes) -> np.ndarray:
 
 
 FLUSH = 1 << 20
-SIGNS, COPIES, FILLED = range(3)
+SIGNS, FILLED = range(2)
 MET = "id long, tag int, sig long, m long"
 
 
 def shared_signatures(docs: DataFrame, parts: int) -> DataFrame:
-    """Rows (id, tag, sig, m) for each signature that m > 1 documents have.
+    """Rows (id, tag, sig, m) for each signature that m > 1 classes have; ids are their keys.
 
-    A row with m < 0 says that the document has -m signatures of the tag; one with tag -1 says that
-    document sig, of a smaller id, has the same set.
+    One row with m < 0 for each class and tag says that the class has -m signatures of the tag.
     """
     names = ["part", "kind", "keys", "ids"]
 
     def sign(batches):
-        keys, ids, filled, copies, seen, held = [], [], [], [], {}, 0
+        keys, ids, filled, seen, held = [], [], [], set(), 0
 
-        def flush():
-            all_keys, all_ids = np.concatenate(keys), np.concatenate(ids)
-            part = (mixed(all_keys) % np.uint64(parts)).astype(np.int64)
+        def dealt(kind, by, x, y):
+            part = (mixed(by) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             cuts = np.searchsorted(part[order], np.arange(parts + 1))
-            rows = [(p, SIGNS, all_keys[x].tobytes(), _planes(all_ids[x])) for p in range(parts) if len(x := order[cuts[p] : cuts[p + 1]])]
-            for kind, pairs in ((FILLED, filled), (COPIES, copies)):
-                if pairs:
-                    x = np.array(pairs, np.int64)
-                    rows.append((int(x[0].sum() % parts), kind, np.ascontiguousarray(x[:, 0]).tobytes(), _planes(x[:, 1])))
-            for x in (keys, ids, filled, copies, seen):
+            return [(p, kind, x[at].tobytes(), _planes(y[at])) for p in range(parts) if len(at := order[cuts[p] : cuts[p + 1]])]
+
+        def flush():
+            all_keys, counts = np.concatenate(keys), np.array(filled, np.int64)
+            rows = dealt(SIGNS, all_keys, all_keys, np.concatenate(ids)) + dealt(FILLED, counts[:, 1].astype(np.uint64), counts[:, 0], counts[:, 1])
+            for x in (keys, ids, filled, seen):
                 x.clear()
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            for text in batch.column("text").to_pylist():
                 items = shingle_set(text)
                 if not len(items):
                     continue
-                key = digest(items)
+                key = class_key(digest(items))
                 if key in seen:  # the same set signs once in a flush
-                    if seen[key] != doc_id:
-                        copies.append((min(seen[key], doc_id), max(seen[key], doc_id)))
                     continue
-                seen[key] = doc_id
+                seen.add(key)
                 for tag, found in signatures(items):
                     keys.append(found)
-                    ids.append(np.full(len(found), doc_id, np.int64))
-                    filled.append((len(found) << TAG_BITS | tag, doc_id))
+                    ids.append(np.full(len(found), key, np.int64))
+                    filled.append((len(found) << TAG_BITS | tag, key))
                     held += len(found)
             if held >= FLUSH:
                 yield flush()
@@ -120,16 +124,19 @@ def shared_signatures(docs: DataFrame, parts: int) -> DataFrame:
 
     def meet(batches):
         groups: dict[int, list] = {}
+        counts: dict[int, list] = {}
         for batch in batches:
             for part, kind, keys, ids in zip(*(batch.column(k).to_pylist() for k in names)):
                 keys, ids = np.frombuffer(keys, "<u8"), _unplanes(ids)
                 if kind == SIGNS:
                     groups.setdefault(part, []).append((keys, ids))
-                elif kind == COPIES:
-                    yield rows_of(ids, np.full(len(ids), -1), keys, np.zeros(len(ids)))
                 else:
-                    n = keys.view(np.int64)
-                    yield rows_of(ids, n & (1 << TAG_BITS) - 1, np.zeros(len(ids), np.int64), -(n >> TAG_BITS))
+                    counts.setdefault(part, []).append(np.stack([keys.view(np.int64), ids], 1))
+        while counts:  # a set that several flushes hold counts once
+            n, ids = np.unique(np.concatenate(counts.popitem()[1]), axis=0).T
+            for i in range(0, len(n), FLUSH):
+                x = n[i : i + FLUSH]
+                yield rows_of(ids[i : i + FLUSH], x & (1 << TAG_BITS) - 1, np.zeros(len(x), np.int64), -(x >> TAG_BITS))
         while groups:
             got = groups.popitem()[1]
             keys, ids = np.concatenate([x for x, _ in got]), np.concatenate([x for _, x in got])
@@ -150,26 +157,23 @@ def shared_signatures(docs: DataFrame, parts: int) -> DataFrame:
 
 
 def candidate_edges(met: DataFrame, scratch: Scratch) -> DataFrame:
-    """Edges (a, b) between documents that may be similar, as stars around the smallest id of a signature.
+    """Edges (a, b) between classes that may be similar, as stars around the smallest id of a signature.
 
-    Of its signatures of a tag, in order of their counts, a document keeps the first d + 1. Those that
-    no other document has come first in that order and count, though they lead nowhere.
+    Of its signatures of a tag, in order of their counts, a class keeps the first d + 1. Those that
+    no other class has come first in that order and count, though they lead nowhere.
     """
     by = Window.partitionBy("id", "tag")
     differ = F.element_at(F.array(*(F.lit(differences(i)) for i in range(len(BOUNDS) - 1))), F.shiftright("tag", 2) + 1)
     alone = F.greatest(F.lit(0), -F.min("m").over(by) - F.count_if(F.col("m") > 0).over(by))
     kept = (
-        met.where(F.col("tag") >= 0)
-        .withColumn("rank", F.row_number().over(by.orderBy("m", "sig")) - 1)  # the row of m < 0 is first
+        met.withColumn("rank", F.row_number().over(by.orderBy("m", "sig")) - 1)  # the row of m < 0 is first
         .withColumn("most", differ + 1 - alone)
         .where((F.col("m") > 0) & (F.col("rank") <= F.col("most")))
         .select("sig", "id")
     )
     kept = scratch.write(kept, "kept")
     low = kept.groupBy("sig").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).drop("n")
-    stars = kept.join(scratch.write(low, "low"), "sig").where(F.col("id") > F.col("low")).select(F.col("low").alias("a"), F.col("id").alias("b"))
-    copies = met.where(F.col("tag") < 0).select(F.col("sig").alias("a"), F.col("id").alias("b"))
-    return stars.union(copies).distinct()
+    return kept.join(scratch.write(low, "low"), "sig").where(F.col("id") > F.col("low")).select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
 
 
 # --- signature trees
@@ -273,31 +277,36 @@ def _join_blocks(rows: DataFrame) -> DataFrame:
 
 
 def join_sets(docs: DataFrame, scratch: Scratch, block_rows: int = 128, pivots: int = 4, per_part: int = 2_500_000, broadcast_rows: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, digest) of each row, and (digest, rep, component) of each class."""
+    """(doc_id, n_shingles, digest, key) of each row, and (digest, rep, component) of each class."""
     bounded_batches(docs.sparkSession)
     sizes = scratch.write(set_sizes(docs), "sizes")
     total = sizes.agg(F.sum("n_shingles")).first()[0] or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // per_part)
-    classes = scratch.write(sizes.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = scratch.write(sizes.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("key").alias("key")), "classes")
     met = scratch.write(shared_signatures(docs, parts), "met")
     near = scratch.write(candidate_edges(met, scratch), "near")
     for name in ("met", "kept", "low"):
         scratch.drop(name)
     groups = connected_components(near, scratch, "groups").withColumnRenamed("component", "grp")
-    # Classes in groups of at least two classes.
-    members = scratch.write(classes.join(groups, classes["rep"] == groups["id"]).select("digest", "rep", "grp"), "members")
-    counts = scratch.write(members.groupBy("grp").agg(F.count_distinct("rep").alias("n")).where(F.col("n") > 1), "counts")
-    members = scratch.write(members.join(counts, "grp").select("rep", "grp", "n").distinct(), "wanted")
+    # Classes in groups, and their sets from the rows of their smallest doc_ids.
+    members = scratch.write(classes.join(groups, classes["key"] == groups["id"]).select("key", "rep", "grp"), "members")
+    counts = scratch.write(members.groupBy("grp").agg(F.count(F.lit(1)).alias("n")), "counts")
+    members = scratch.write(members.join(counts, "grp").select("key", "rep", "grp", "n"), "wanted")
     n_members = members.count()
 
     def sets(batches):
         for batch in batches:
-            found = [shingle_set(x).tobytes() for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("grp"), batch.column("n"), batch.column("rep"), pa.array(found, pa.binary())], ["grp", "n", "id", "items"])
-
-    texts = _texts(docs).join(small(members, n_members, broadcast_rows), F.col("doc_id") == F.col("rep")).select("grp", "n", "rep", "text")
+            found = [x for x in map(shingle_set, batch.column("text").to_pylist()) if len(x)]
+            yield pa.RecordBatch.from_arrays([pa.array([class_key(digest(x)) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["id", "items"])
+
+    reps = members.select("rep").distinct()
+    texts = _texts(docs).join(small(reps, n_members, broadcast_rows), F.col("doc_id") == F.col("rep"), "left_semi").select("text")
+    items = texts.mapInArrow(sets, "id long, items binary").join(small(members, n_members, broadcast_rows), F.col("id") == F.col("key"))
+    items = scratch.write(items.select("grp", "n", "id", "items"), "items")
+    if items.count() > n_members:  # rows of one doc_id repeat a set
+        items = scratch.write(items.dropDuplicates(["id"]), "unique")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / block_rows)).cast("int")
-    items = scratch.write(texts.mapInArrow(sets, "grp long, n long, id long, items binary"), "items").withColumn("blocks", blocks)
+    items = items.withColumn("blocks", blocks)
     salt = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     own = items.select(F.struct("grp", salt.alias("x"), F.lit(0).alias("y")).alias("block"), "id", F.col("id").alias("label"), "items")
     by_hash = Window.partitionBy("grp").orderBy(F.xxhash64("id"), "id")
@@ -310,15 +319,26 @@ def join_sets(docs: DataFrame, scratch: Scratch, block_rows: int = 128, pivots:
         .select(F.struct("grp", "x", F.lit(0).alias("y")).alias("block"), "id", F.col("id").alias("label"), "items")
     )
     links = scratch.write(_join_blocks(own.union(shared)), "links")
-    found = connected_components(links, scratch, "first")
     large = items.where(F.col("blocks") > 1)
     if not large.isEmpty():
+        found = connected_components(links, scratch, "first")
         links = links.union(scratch.write(_join_rest(large, found, scratch, block_rows), "more"))
-        found = connected_components(links, scratch, "all")
+    named = lambda end: members.select(F.col("key").alias(end), F.col("rep").alias(f"{end}_rep"))
+    links = links.join(named("a"), "a").join(named("b"), "b").select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
+    found = connected_components(links.union(_same_document(sizes, classes, scratch)), scratch, "all")
     joined = classes.join(found, classes["rep"] == found["id"], "left").select("digest", "rep", F.coalesce("component", "rep").alias("component"))
     return sizes, scratch.write(joined, "joined")
 
 
+def _same_document(sizes: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Edges between the smallest doc_ids of the classes of a doc_id that has several; null has but one."""
+    full = sizes.where(F.col("key").isNotNull() & (F.col("doc_id") != NO_ID))
+    several = scratch.write(full.groupBy("doc_id").agg(F.min("key").alias("low"), F.max("key").alias("high")).where(F.col("low") != F.col("high")).select("doc_id"), "several")
+    reps = full.join(several, "doc_id", "left_semi").select("doc_id", "key").join(classes, "key").select("doc_id", "rep").distinct()
+    low = reps.groupBy("doc_id").agg(F.min("rep").alias("low"))
+    return reps.join(low, "doc_id").select(F.col("low").alias("a"), F.col("rep").alias("b"))
+
+
 def _join_rest(large: DataFrame, found: DataFrame, scratch: Scratch, block_rows: int) -> DataFrame:
     """Edges between the sets of a large group that are apart from its main part and all its other sets."""
     labelled = large.join(found, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")

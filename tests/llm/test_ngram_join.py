@@ -114,3 +114,26 @@ def test_tree_keeps_every_similar_pair():
     want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if ngram_join.similar(sets[i], sets[j])}
     assert want <= kept
     assert len(kept) < len(sets) * (len(sets) - 1) // 4
+
+
+def test_near_copies_of_rows_repeated_over_partitions(spark):
+    shingled = lambda k, n: " ".join(f"{k}x{i}" for i in range(n + 4))
+    rows = [(d, shingled(d // 10, n)) for k in range(40) for n in (4 + k % 30,) for d in (10 * k,) for _ in range(6)]
+    rows += [(d + 1, f"{text} more") for d, text in dict(rows).items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = ngram_join.ngram_join(docs, per_part=2000).collect()
+    assert len(got) == len(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows)
+    assert {r.component_id for r in got} == {10 * k for k in range(40)}
+
+
+@pytest.mark.parametrize("block_rows", [8, 128])
+def test_near_copies_of_many_null_ids_and_of_a_document_of_two_texts(spark, block_rows):
+    words = lambda k, n: " ".join(f"{k}y{i}" for i in range(n + 4))
+    rows = [(None, words(k, 4 + k % 7)) for k in range(60)] + [(k, f"{words(k, 4 + k % 7)} more") for k in range(60)]
+    rows += [(100, "far from all others"), (101, "far from all others"), (101, "another text of the same one"), (102, "another text of the same one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = ngram_join.ngram_join(docs, block_rows=block_rows, per_part=2000).collect()
+    assert len(got) == len(rows)
+    assert {r.component_id for r in got if r.doc_id is None or r.doc_id < 100} == {ngram_join.NO_ID}
+    assert {r.component_id for r in got if r.doc_id is not None and r.doc_id >= 100} == {100}
