@@ -19,6 +19,7 @@ only a sequence whose length is no power of two is padded, to ``window``.
 from __future__ import annotations
 
 import string
+import unicodedata
 import zlib
 from bisect import bisect_right, insort
 from functools import lru_cache
@@ -38,13 +39,21 @@ SPECIAL = b"<|"
 MARKS = string.punctuation.encode()
 
 
+def stays_letters(word: str) -> bool:
+    """Whether a word is letters alone before and after the tokenizer normalises it.
+
+    U+0130 in lower case, and some letters in NFC, end with a combining mark, which is one token with marks that follow.
+    """
+    return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
+
+
 class WordIds(dict):
     """Ids of a word as packed little-endian 32-bit numbers; bounded, and refilled when full.
 
     For tokenizers that lower-case and drop white space.
 
     White space never lies inside a token of a tokenizer that drops it, so texts can be encoded word
-    by word. ASCII marks that close a word of letters are apart from it there. Unknown words of
+    by word. ASCII marks that close a word which stays letters are apart from it there. Unknown words of
     letters alone are encoded in one call, as one text: each ends with the only token that closes a
     word; should their number differ, words are encoded one by one.
     """
@@ -71,7 +80,7 @@ class WordIds(dict):
         return [out[w] for w in words]
 
     def learn(self, words: list[bytes]) -> None:
-        tails = {w: stem for w in words if len(stem := w.rstrip(MARKS)) < len(w) and stem.decode().isalpha()}
+        tails = {w: stem for w in words if len(stem := w.rstrip(MARKS)) < len(w) and stays_letters(stem.decode())}
         unknown = {x for w in words if (x := tails.get(w, w)) not in self}
         unknown |= {x for w, stem in tails.items() if (x := w[len(stem) :]) not in self}
         names = list(unknown)

@@ -67,3 +67,11 @@ def test_memo_refills(monkeypatch, limit):
     words = packing.WordIds(tokenizer)
     for text in ("a b c d e f g", "a b x, y. z, a", "q r s t u v w x y z a b c d", "İ İa b"):
         assert np.frombuffer(words.text(text.encode()), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_marks_after_letters_that_normalise_to_a_combining_mark():
+    tokenizer = Tokenizer.from_file(PATH)
+    words = packing.WordIds(tokenizer)
+    for letter in ("\u0130", "\u0958", "\u09df", "\ufb1d", "\ufb4e"):
+        for text in (f"{letter},", f"SANK{letter}.", f"a{letter}b!? {letter} {letter}\"", f"x {letter}, y."):
+            assert np.frombuffer(words.text(text.encode()), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
