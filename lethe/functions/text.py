@@ -112,12 +112,17 @@ def gunzip(body: pd.Series) -> pd.Series:
     return pd.Series([None if b is None else gzip.decompress(b).decode() for b in body])
 
 
-def message_body(data: Column, most: int = 65536) -> tuple[Column, Column]:
-    """(body, is_binary): text as it is, other bytes in base 64, a placeholder for nothing."""
-    cut = F.substring(data, 1, most)
-    text = F.try_validate_utf8(cut.cast("string"))
-    body = F.when(F.octet_length(data) == 0, F.lit("(empty)")).otherwise(F.coalesce(text, F.base64(cut)))
-    return body, (F.octet_length(data) > 0) & text.isNull()
+def message_body(data: Column, most: int = 0) -> tuple[Column, Column]:
+    """(body, is_binary): text as it is, other bytes in base 64, a placeholder for nothing.
+
+    At most so many bytes if ``most`` isn't 0; text is cut between characters.
+    """
+    text = lambda bytes_: F.try_validate_utf8(bytes_.cast("string"))
+    start = lambda n: F.substring(data, 1, max(0, n))
+    held, cut = text(data), start(most) if most else data
+    kept = F.when(held.isNotNull(), F.coalesce(*(text(start(most - i)) for i in range(4)))) if most else held  # a character has four bytes at most
+    body = F.when(F.octet_length(data) == 0, F.lit("(empty)")).otherwise(F.coalesce(kept, F.base64(cut)))
+    return body, (F.octet_length(data) > 0) & held.isNull()
 
 
 def header_significance(header: Column, default: int) -> Column:

@@ -29,7 +29,7 @@ class MessageSettings:
     metadata_headers: tuple[str, ...] = ()
     metadata_prefix: str = "meta-"
     fixed: tuple[tuple[str, str], ...] = ()
-    max_body: int = 65536
+    max_body: int = 0  # no limit
 
 
 def from_messages(messages: DataFrame, now: int, s: MessageSettings = MessageSettings()) -> DataFrame:

@@ -157,3 +157,15 @@ def test_counts_are_kept_for_a_while():
     assert cache.get("m", MemoryFilter(group="g"), count) == 2
     now[0] = 11
     assert cache.get("m", MemoryFilter(), count) == 3
+
+
+def test_long_messages_are_kept_whole_and_cut_between_characters(spark):
+    long, bad = "x" * 65535 + "é" + "tail", b"\xff" * 70_000
+    rows = spark.createDataFrame([("t", long.encode(), {"id": "a"}, 1), ("t", bad, {"id": "b"}, 1), ("t", b"", {"id": "c"}, 1)], streams.MESSAGES)
+    body = lambda **s: {r.id: (r.body, r.is_binary) for r in ingest.from_messages(rows, NOW, ingest.MessageSettings(**s)).collect()}
+    encoded = lambda b: __import__("base64").b64encode(b).decode()
+    got = body()
+    assert got["a"] == (long, False) and got["c"] == ("(empty)", False)
+    assert (got["b"][0].replace("\r\n", ""), got["b"][1]) == (encoded(bad), True)
+    assert body(max_body=65536)["a"] == ("x" * 65535, False)
+    assert body(max_body=65537)["a"] == ("x" * 65535 + "é", False)
