@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from lethe.operators.mutate import replace_with_summary
 
 Summariser = Callable[[str, str, list[str]], str]
 MAX_BODIES, MAX_CHARS = 100, 20_000
+PART_BODIES, PART_CHARS = 200, 32_000  # of one call of a summariser; nothing is left out
 
 
 def prompt(name: Column, group: Column, bodies: Column, most: int = MAX_BODIES, chars: int = MAX_CHARS) -> Column:
@@ -30,16 +31,39 @@ def event_texts(memories: DataFrame, events: DataFrame) -> DataFrame:
     return held.join(named, "event_id").select("event_id", prompt(F.col("name"), F.col("g"), F.col("bodies")).alias("prompt"), "top")
 
 
+def parts(bodies: Iterable[str]) -> Iterator[list[str]]:
+    """All bodies in runs of bounded number and characters, of at least two bodies but for the last."""
+    part, chars = [], 0
+    for body in bodies:
+        if len(part) > 1 and (len(part) >= PART_BODIES or chars + len(body) > PART_CHARS):
+            yield part
+            part, chars = [], 0
+        part.append(body)
+        chars += len(body)
+    if part:
+        yield part
+
+
+def whole_summary(bodies: Iterable[str], summariser: Callable[[list[str]], str]) -> str | None:
+    """A summary of all bodies, or of the summaries of their parts, level by level; none of nothing."""
+    texts = [summariser(part) for part in parts(bodies)]
+    while len(texts) > 1:
+        texts = [summariser(part) if len(part) > 1 else part[0] for part in parts(texts)]
+    return texts[0] if texts else None
+
+
 def summarise(memories: DataFrame, events: DataFrame, event_id: str, summariser: Summariser, now: int, minimum: int = 0) -> DataFrame:
-    """memories with one summary for the event; it takes the largest significance of what it replaces."""
-    held = memories.where((F.col("event_id") == event_id) & ~F.col("is_binary")).orderBy("timestamp", "id").limit(MAX_BODIES).collect()  # bounded
+    """memories with one summary of all the event's texts; it takes the largest significance of what it replaces."""
+    held = memories.where(F.col("event_id") == event_id)
     event = events.where(F.col("id") == event_id).first()
-    if event is None or not held:
+    top = held.orderBy(F.desc("significance"), "timestamp", "id").select("id", "significance").first()
+    texts = held.where(~F.col("is_binary"))
+    if event is None or texts.isEmpty():
         raise InvalidArgument("nothing to summarise")
-    top = max(held, key=lambda r: r.significance)
     if 0 < top.significance < minimum:
         raise InvalidArgument("the summary would rank below what the store takes")
-    text = summariser(event.name, event.group_name, [r.body for r in held])
+    bodies = (r.body for r in texts.orderBy("timestamp", "id").select("body").toLocalIterator())
+    text = whole_summary(bodies, lambda part: summariser(event.name, event.group_name, part))
     row = memories.where(F.col("id") == top.id).limit(1)
     row = row.withColumn("id", F.lit(f"summary-{event_id}-{now}")).withColumn("body", F.lit(text)).withColumn("timestamp", F.lit(now).cast("long"))
     return replace_with_summary(memories, event_id, row.withColumn("metadata", F.lit(None).cast("map<string,string>")))

@@ -169,3 +169,16 @@ def test_long_messages_are_kept_whole_and_cut_between_characters(spark):
     assert (got["b"][0].replace("\r\n", ""), got["b"][1]) == (encoded(bad), True)
     assert body(max_body=65536)["a"] == ("x" * 65535, False)
     assert body(max_body=65537)["a"] == ("x" * 65535 + "é", False)
+
+
+def test_summaries_read_all_texts_and_rank_with_binary_memories(spark):
+    from lethe.plans.summarise import summarise
+
+    rows = [("t", f"m{i}".encode(), {"id": f"{i:03}", "event": "e", "significance": str(9 if i == 249 else 1)}, i + 1) for i in range(450)]
+    rows.append(("t", b"\xff", {"id": "z", "event": "e", "significance": "50"}, 500))
+    memories = ingest.from_messages(spark.createDataFrame(rows, streams.MESSAGES), NOW)
+    events = spark.createDataFrame([("e", "E", "g")], "id string, name string, group_name string")
+    calls = []
+    out = summarise(memories, events, "e", lambda name, group, bodies: calls.append(len(bodies)) or "|".join(bodies), NOW).collect()
+    assert [(r.body.split("|"), r.significance, r.is_binary) for r in out] == [([f"m{i}" for i in range(450)], 50, False)]
+    assert calls == [200, 200, 50, 3]
