@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lethe.sources.scratch import Scratch, shared_dir
@@ -20,6 +22,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def column(name: str) -> Column:
+    """A column by its whole name, whatever characters that holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def carried(df: DataFrame, name: str = "row") -> Column:
+    """All columns of a table as one struct, so that a plan's own names can't clash with them; ``row.*`` gives them back."""
+    return F.struct(*map(column, df.columns)).alias(name)
+
+
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """A session setting for the actions inside, put back afterwards."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def small(df: DataFrame, rows: int, most: int) -> DataFrame:
     """Mark a side for broadcast only if its counted rows are within the bound; else Spark shuffles it."""
     return F.broadcast(df) if rows <= most else df

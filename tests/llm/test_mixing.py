@@ -67,3 +67,23 @@ def test_empty_inputs(spark):
     got = mixing.mix_report(spark.createDataFrame([(1, None, "a"), (1, None, "a")], schema)).collect()
     assert [(r.size, r.target, r.taken) for r in got] == [(0, 0.0, 0)] * 2
     assert mixing.mix(spark.createDataFrame([(1, "", "a")], schema)).count() == 0
+
+
+def test_columns_whose_names_clash_pass_through(spark):
+    names = ["doc_id", "text", "source", "__size", "__class", "__rate", "src", "size", "class", "salt", "rank", "row", "a.b"]
+    rows = [(i, f"a b {'c ' * (i % 5)}", f"s{i % 3}", *(f"{n}{i}" for n in names[3:])) for i in range(60)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "source", *names[3:]])
+    mixed = mixing.mix(docs)
+    assert mixed.columns == names and mixed.schema == docs.schema
+    assert set(map(tuple, mixed.collect())) <= set(rows) and mixed.count() > 0
+
+
+def test_one_doc_id_may_hold_most_rows(spark):
+    rows = [(None, "a b c", "x")] * 400 + [(7, "a b", "x")] * 400 + [(i, "a", "y") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_report(docs).collect()
+    assert len(got) == 900
+    for s, words in (("x", 2000), ("y", 100)):
+        mine = [r for r in got if r.source_size == words]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 3
+    assert sum(len(r.text.split()) for r in mixing.mix(docs).collect()) == sum(r.taken for r in got)
