@@ -78,3 +78,45 @@ def test_the_main_path_is_native(spark):
     docs = spark.createDataFrame(ROWS, "doc_id long, text string")
     plan = line_dedup.line_report(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_any_column_names_and_long_texts(spark):
+    names = ["__id", "__drop", "__lines", "row", "drop", "id", "th", "a.b"]
+    long = "\n".join([LONG, "x" * 500_000, *(f"line {i}" for i in range(20_000))])
+    rows = [(i, f"{LONG}\nown {i}", *(f"{n}{i}" for n in names)) for i in (1, 2)] + [(3, long, *names)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    out = line_dedup.dedup_lines(docs)
+    assert out.columns == docs.columns
+    want = [(i, f"own {i}", *(f"{n}{i}" for n in names)) for i in (1, 2)] + [(3, long, *names)]
+    assert sorted(map(tuple, out.collect())) == want
+    assert sorted(map(tuple, line_dedup.line_report(docs).collect())) == plain([r[:2] for r in rows])
+
+
+def test_runs_are_merged_as_they_lie(spark):
+    """No exchange and no sort above a run in the anti-join and in the merge of runs."""
+    runs = line_dedup.LineRuns(spark, line_dedup.Scratch(spark, "runs-test"), fanout=3)
+    batch = lambda low: spark.range(low, low + 50).selectExpr("id % 40 AS h", "cast(id % 7 AS int) AS g", "id AS doc_id")
+    runs.add(batch(0))
+    runs.add(batch(30))
+    with line_dedup.setting(spark, line_dedup.IN_ORDER, "true"):
+        for rows in (runs.joined(batch(60)), runs.merged()):
+            rows.collect()
+            plan = rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+            scans = [i for i, x in enumerate(plan) if "Scan" in x and "line_run" in x]
+            assert len(scans) == 2
+            for i in scans:
+                depth = lambda x: len(x) - len(x.lstrip(" :+-*()0123456789"))
+                above, at = [], depth(plan[i])
+                for x in reversed(plan[:i]):
+                    if depth(x) < at:
+                        above.append(x)
+                        at = depth(x)
+                    if "SortMergeJoin" in x and depth(x) <= at:
+                        break
+                assert "SortMergeJoin" in above[-1], plan
+                assert not any("Exchange" in x or " Sort [" in x for x in above), "\n".join(plan)
+    assert sorted(map(tuple, runs.merged().select("h", "g", "n_docs").collect())) == sorted(
+        map(tuple, batch(0).union(batch(30)).groupBy("h", "g").count().collect())
+    )
+    runs.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run")]
