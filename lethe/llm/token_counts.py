@@ -9,7 +9,8 @@ Content is normalised only as far as counts allow: a null text is the empty text
 Defined cases: null and empty texts have 0 bytes and 0 tokens; special strings inside texts are taken
 as the tokenizer takes them by default; no special tokens are added, nothing is truncated; repeated
 rows and repeated texts each get their count; repeated doc_ids may hold different texts; an empty
-table gives an empty result and leaves the cache as it was. One writer at a time may append to a cache.
+table gives an empty result and leaves the cache as it was. A cache may hold a digest more than once, as
+after two writers at the same time: its count is read once.
 """
 
 from __future__ import annotations
@@ -22,10 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lethe.llm.common import Scratch, bounded_batches, text_or_empty
+from lethe.llm.common import Scratch, bounded_batches, small, text_or_empty
 
 SCHEMA = "digest binary, tokenizer string, n_tokens long"
 CHUNK_CHARS = 1 << 20
+BROADCAST_ROWS = 100_000  # of 40 bytes
 
 
 class CountCache:
@@ -39,7 +41,7 @@ class CountCache:
 
     def counts(self, version: str) -> DataFrame:
         stored = self.spark.read.schema(SCHEMA).parquet(self.path)
-        return stored.where(F.col("tokenizer") == version).select("digest", "n_tokens")
+        return stored.where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
     def append(self, counted: DataFrame, version: str) -> None:
         counted.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(self.path)
@@ -90,6 +92,11 @@ def count_texts(texts: DataFrame, path: str) -> DataFrame:
     return texts.select("digest", "text").mapInArrow(count, "digest binary, n_tokens long")
 
 
+def repeated_ids(seen: DataFrame, key) -> DataFrame:
+    """(digest, first_id) that several rows hold."""
+    return seen.groupBy("digest", key.alias("first_id")).count().where("count > 1")
+
+
 def count_tokens(docs: DataFrame, path: str, cache_path: str | None = None, limit: int = 512) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit. Without cache_path the cache starts empty."""
     spark = docs.sparkSession
@@ -100,9 +107,13 @@ def count_tokens(docs: DataFrame, path: str, cache_path: str | None = None, limi
     key = F.coalesce("doc_id", F.lit(-1 << 63))
     seen = scratch.write(docs.select("doc_id", digest.alias("digest"), F.octet_length(text_or_empty()).cast("long").alias("n_bytes")), "digests")
     first = seen.groupBy("digest").agg(F.min(key).alias("first_id"))
-    misses = first.join(cache.counts(version), "digest", "left_anti")
-    texts = docs.select(key.alias("first_id"), digest.alias("digest"), text_or_empty().alias("text"))
-    counted = count_texts(texts.join(misses, ["digest", "first_id"], "left_semi"), path)
-    cache.append(counted.dropDuplicates(["digest"]), version)
+    misses = scratch.write(first.join(cache.counts(version), "digest", "left_anti"), "misses")
+    # Few misses are broadcast, so that a warm cache shuffles no text; many are met where texts are shuffled.
+    wanted = small(misses, misses.count(), BROADCAST_ROWS)
+    texts = docs.select(key.alias("first_id"), digest.alias("digest"), text_or_empty().alias("text")).join(wanted, ["digest", "first_id"], "left_semi")
+    if not repeated_ids(seen, key).isEmpty():
+        texts = texts.dropDuplicates(["digest"])  # rows that repeat both doc_id and text
+    counted = count_texts(texts, path)
+    cache.append(counted, version)
     out = seen.join(cache.counts(version), "digest", "left")
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -40,3 +40,16 @@ def test_the_cache_is_asked_first_and_grows(spark, tmp_path, monkeypatch):
 
 def test_empty_table(spark):
     assert token_counts.count_tokens(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_a_cache_with_repeated_digests_and_repeated_rows(spark, tmp_path):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    cache = str(tmp_path / "cache")
+    docs = spark.createDataFrame([(1, "some words"), (1, "some words"), (2, "other"), (2, "some words"), (None, None)], "doc_id long, text string")
+    first = sorted(map(str, token_counts.count_tokens(docs, path, cache).collect()))
+    stored = spark.read.parquet(cache)
+    assert stored.count() == 3  # each distinct text once
+    held = stored.collect()
+    spark.createDataFrame(held, stored.schema).write.mode("append").parquet(cache)
+    assert sorted(map(str, token_counts.count_tokens(docs, path, cache).collect())) == first
+    assert spark.read.parquet(cache).count() == 6
