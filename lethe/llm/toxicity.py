@@ -81,10 +81,16 @@ class Lexicon:
         def match(text: str):
             hits, excused = [], []
             for end, (n, weight, term) in machine.iter(text):
-                (excused if weight is None else hits).append((end - n + 1, end, weight, term))
-            total, terms, last = 0.0, set(), -1
-            for start, end, weight, term in sorted(hits, key=lambda x: (x[0], -x[2])):
-                if start != last and not any(a <= start and end <= b for a, b, _, _ in excused):
+                (excused if weight is None else hits).append((end - n + 1, -end, weight, term))
+            hits.sort(key=lambda x: x[:2])
+            excused.sort(key=lambda x: x[:2])
+            total, terms, last, reach, i = 0.0, set(), -1, -1, 0
+            for start, end, weight, term in hits:
+                # reach is the farthest end of the exceptions that begin at or before the hit.
+                while i < len(excused) and excused[i][0] <= start:
+                    reach = max(reach, -excused[i][1])
+                    i += 1
+                if start != last and -end > reach:
                     total += weight
                     terms.add(term)
                     last = start

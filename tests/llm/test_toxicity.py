@@ -72,3 +72,61 @@ def test_defined_cases(spark):
     assert toxicity.toxicity(docs.limit(0), none).count() == 0
     more = docs.selectExpr("doc_id", "text", "1 AS score", "'x' AS terms")
     assert toxicity.drop_toxic(more, none).columns == more.columns
+
+
+def naive(lexicon, text):
+    """All places of all terms and exceptions, by plain search."""
+    def places(term):
+        at = text.find(term)
+        while at >= 0:
+            yield at, at + len(term)
+            at = text.find(term, at + 1)
+
+    excused = [p for phrase in lexicon.exceptions if phrase not in lexicon.weights for p in places(phrase)]
+    total, terms, starts = 0.0, set(), {}
+    for term, weight in lexicon.weights.items():
+        for a, b in places(term):
+            if not any(x <= a and b <= y for x, y in excused):
+                starts.setdefault(a, []).append((b, weight, term))
+    for a, found in starts.items():
+        _, weight, term = max(found)
+        total += weight
+        terms.add(term)
+    return total, len(terms)
+
+
+def test_matcher_is_the_naive_search():
+    import random
+
+    r = random.Random(5)
+    lexicon = toxicity.Lexicon({" ab": 1.0, " abba ": 2.5, " ba": 0.5, " cab ": 4.0}, [" ab c ", " c ba ", " abba ab "])
+    match = lexicon.matcher()
+    for _ in range(500):
+        text = f" {' '.join(''.join(r.choice('abc') for _ in range(r.randint(1, 4))) for _ in range(r.randint(0, 30)))} "
+        total, terms, words = match(text)
+        assert (round(total, 9), terms) == (round(naive(lexicon, text)[0], 9), naive(lexicon, text)[1]), text
+        assert words == max(0, text.count(" ") - 1)
+
+
+def test_scores_are_those_of_the_naive_search(spark):
+    """Every score of the query from the learned lexicon, by plain search and the curve."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{x}.parquet") for x in ("documents", "labels"))
+    lexicon = toxicity.fit(docs, labels)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, lexicon).collect()}
+    for r in docs.collect():
+        text = toxicity.fold(r.text or "")
+        assert abs(got[r.doc_id] - lexicon.score(naive(lexicon, text)[0], max(0, text.count(" ") - 1))) < 1e-9
+
+
+def test_long_texts_are_linear(spark):
+    import time
+
+    lexicon = toxicity.Lexicon({" bad": 1.0}, [" bad apple pie in "], (0.0, 1.0, 0.0))
+    match, text = lexicon.matcher(), " bad apple pie in" * 60_000 + " "
+    began = time.time()
+    assert match(text)[0] == 0.0
+    assert time.time() - began < 5
+    docs = spark.createDataFrame([(1, "bad " * 200_000, "x"), (2, "", "y"), (3, None, "z")], "doc_id long, text string, score string")
+    assert {r.doc_id: r.score > 0.5 for r in toxicity.score(docs, lexicon).collect()} == {1: True, 2: False, 3: False}
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    assert toxicity.drop_toxic(docs, labels).schema == docs.schema
