@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lethe.llm.common import bounded_batches
@@ -137,15 +137,26 @@ def learn(texts: list[str], langs: list[str], passes: int = 10, rate: float = 0.
     return Profiles(names, best.astype(np.float32), shared.astype(np.float32), seed)
 
 
-def fit(docs: DataFrame, per_lang: int = 600, fold_of: int = 4, held: int = 2) -> Profiles:
-    """Profiles from about ``per_lang`` documents of each language outside the held-out remainder."""
+def sample(docs: DataFrame, per_lang: int = 600, fold_of: int = 4, held: int = 2) -> DataFrame:
+    """(doc_id, text, lang): at most ``per_lang`` documents of each language outside the held-out remainder.
+
+    A hash of doc_id and text chooses some more than that, and the first of them in order of the hash stay.
+    """
     rows = docs.where(F.col("lang").isNotNull() & F.coalesce(F.crc32(F.col("doc_id").cast("string")) % fold_of != held, F.lit(True)))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
-    chance = F.create_map(*[F.lit(v) for name, n in sorted(counts.items()) for v in (name, min(1.0, per_lang / n))]) if counts else None
-    if chance is None:
-        return learn([], [])
-    spot = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 20)) / float(1 << 20)
-    got = rows.where(spot < F.element_at(chance, F.col("lang"))).orderBy("doc_id", "lang").select("text", "lang").toPandas()  # bounded
+    spot = F.pmod(F.xxhash64("doc_id", "text", F.lit(23)), F.lit(1 << 20))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(spot).alias("least")).collect()  # a row for each language
+    if not counts:
+        return rows.select("doc_id", "text", "lang").limit(0)
+    most = {r.lang: max(r.least, int((1 << 20) * min(1.0, 2 * per_lang / r.n))) for r in counts}  # the least passes, however few texts differ
+    chance = F.create_map(*[F.lit(x) for pair in sorted(most.items()) for x in pair])
+    some = rows.select("doc_id", "text", "lang", spot.alias("spot")).where(F.col("spot") <= F.element_at(chance, F.col("lang")))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("spot", "doc_id", "text"))
+    return some.withColumn("place", place).where(F.col("place") <= per_lang).select("doc_id", "text", "lang")
+
+
+def fit(docs: DataFrame, per_lang: int = 600, fold_of: int = 4, held: int = 2) -> Profiles:
+    """Profiles from at most ``per_lang`` documents of each language, whole texts, on the driver."""
+    got = sample(docs, per_lang, fold_of, held).orderBy("doc_id", "lang", "text").select("text", "lang").toPandas()
     return learn(list(got["text"]), list(got["lang"]))
 
 

@@ -61,3 +61,45 @@ def test_defined_cases(spark):
     none = language.fit(docs.where("lang IS NULL"))
     assert {r.lang_pred for r in language.identify(docs, none).collect()} == {"und"}
     assert language.identify(docs.limit(0), none).count() == 0
+
+
+def test_predictions_are_those_of_plain_vectors(spark):
+    """Documents bundled n-gram by n-gram and compared with the learned prototypes in plain numpy."""
+    import numpy as np
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    profiles = language.fit(docs)
+    char = lambda c: np.random.default_rng((profiles.seed, ord(c))).integers(0, 2, language.DIMS, dtype=np.int8).astype(int) * 2 - 1
+    held = {}
+
+    def gram(g):
+        if g not in held:
+            held[g] = np.roll(char(g[0]), 2) * np.roll(char(g[1]), 1) * char(g[2])
+        return held[g]
+
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(docs, profiles).collect()}
+    for r in docs.limit(60).collect():
+        words = language.letters(r.text)
+        if not words:
+            assert got[r.doc_id][0] == "und"
+            continue
+        v = np.sum([gram(words[i : i + 3]) for i in range(len(words) - 2)], axis=0).astype(float)
+        v = v / np.linalg.norm(v) - profiles.shared
+        cosines = profiles.prototypes @ (v / np.linalg.norm(v))
+        share = np.exp(profiles.sharpness * (cosines - cosines.max()))
+        assert got[r.doc_id][0] == profiles.names[int(cosines.argmax())]
+        assert abs(got[r.doc_id][1] - share.max() / share.sum()) < 1e-3
+
+
+def test_sample_is_bounded_whatever_the_ids(spark):
+    rows = [(None, f"text number {i}", "en") for i in range(300)] + [(4, "same text", "de")] * 300 + [(i, f"texte {i}", "fr") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["lang"]: r["count"] for r in language.sample(docs, per_lang=20).groupBy("lang").count().collect()}
+    assert got["en"] == 20 and got["de"] == 20 and 1 <= got["fr"] <= 5
+
+
+def test_long_texts_and_clashing_columns(spark):
+    rows = [(1, "the quick brown fox " * 50_000, "en", "x"), (3, "der schnelle braune fuchs " * 3, "de", "y"), (4, None, None, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, spot string")
+    got = {r.doc_id: r.lang_pred for r in language.identify(docs, language.fit(docs)).collect()}
+    assert got[4] == "und" and got[1] == "en"
