@@ -11,8 +11,8 @@ markup and <br> stay inside the run. Character references are decoded, white spa
 
 Defined cases: null, empty or tag-less html gives the empty text or its text as one block; scripts,
 styles, templates, comments and titles are never text; unclosed, misnested and stray tags are repaired
-as browsers do in outline; repeated rows give equal texts; an empty table gives an empty result;
-nesting deeper than MAX_DEPTH is kept flat.
+as browsers do in outline; a tag that never ends is text; repeated rows give equal texts; an empty table
+gives an empty result. Nesting of any depth is kept, and parsing takes time in proportion to the page.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,7 +30,6 @@ from pyspark.sql import functions as F
 
 from lethe.llm.common import bounded_batches
 
-MAX_DEPTH = 200
 # Fixed values of HTML: elements without end tags, elements whose inside is no text, elements that stay in a line.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style template noscript title textarea iframe object svg math select noembed noframes audio video canvas".split())
@@ -43,6 +43,7 @@ CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",
 LIST_ROOTS = frozenset("ul ol menu dl table".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)[^>]*+>", re.S)
+_ENDLESS = re.compile(r"<!--|<!\[CDATA\[")
 _ATTR = re.compile(r"(?:class|id|role|itemprop|hidden|aria-hidden|style)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPACE = re.compile(r"\s+")
 _NAME_WORDS = re.compile(r"[a-z]+")
@@ -63,6 +64,7 @@ def parse(html: str) -> list[Node]:
     """Nodes in page order, parents before children; text blocks have the tag ``#text``."""
     nodes = [Node("#root")]
     stack = [0]
+    where: dict[str, list[int]] = defaultdict(list)  # places of the open elements of a tag in the stack
     run: list[str] = []
     links = in_link = 0
     at, n = 0, len(html)
@@ -76,14 +78,14 @@ def parse(html: str) -> list[Node]:
             nodes.append(Node("#text", parent=top, depth=nodes[top].depth + 1, text=[joined], link_chars=links, chars=len(joined)))
         links = 0
 
+    def innermost(tags):
+        return max((where[t][-1] for t in tags if where[t]), default=0)
+
     def close(tags, stop):
-        for i in range(len(stack) - 1, 0, -1):
-            tag = nodes[stack[i]].tag
-            if tag in tags:
-                del stack[i:]
-                return
-            if tag in stop:
-                return
+        at = innermost(tags)
+        if at > innermost(stop):
+            while len(stack) > at:
+                where[nodes[stack.pop()].tag].pop()
 
     def add_text(raw):
         nonlocal links
@@ -92,13 +94,17 @@ def parse(html: str) -> list[Node]:
             if in_link:
                 links += len(raw)
 
+    last = html.rfind(">") + 1  # no tag ends behind it, but comments do with the page
     while at < n:
-        m = _TOKEN.search(html, at)
+        m = _TOKEN.search(html, at, last) if at < last else None
         if not m:
-            add_text(html[at:])
+            endless = _ENDLESS.search(html, at)
+            add_text(html[at : endless.start()] if endless else html[at:])
             break
         add_text(html[at : m.start()])
         at = m.end()
+        if m[0].startswith(("<!--", "<![CDATA[")) and not m[0].endswith(("-->", "]]>")):
+            break
         name = m[2] or m[5]  # the second form has an unclosed quote
         if name is None:
             continue
@@ -134,8 +140,8 @@ def parse(html: str) -> list[Node]:
         names = " ".join(a or b or c for a, b, c in _ATTR.findall(attributes)).lower() if attributes else ""
         top = stack[-1]
         nodes.append(Node(tag, names, top, nodes[top].depth + 1))
-        if len(stack) < MAX_DEPTH:
-            stack.append(len(nodes) - 1)
+        where[tag].append(len(stack))
+        stack.append(len(nodes) - 1)
     flush()
     for i in range(len(nodes) - 1, 0, -1):
         p = nodes[nodes[i].parent]

@@ -69,3 +69,30 @@ def test_defined_cases(spark, model):
     got = H.extract_text(pages.selectExpr("*", "1 AS text"), model).collect()
     assert sorted((r.text, r.n_chars) for r in got) == [("", 0), ("", 0), ("Some text here.", 15)]
     assert H.extract_text(pages.limit(0), model).count() == 0
+
+
+@pytest.mark.parametrize("depth", [1, 10, 250, 5000])
+def test_depth_changes_nothing(model, depth):
+    deep, shallow = "<div>" * depth, "</div>" * depth
+    page = (
+        f"<body><article><h1>Title here</h1><p>One sentence of the article that is long enough to be text.</p><p>Another sentence of the article follows it.</p></article>"
+        f"<div class=comments>{deep}<p>A reader says so.</p>{shallow}</div>{deep}<div class=sidebar><p>Related things.</p></div>{shallow}</body>"
+    )
+    assert model.extract(page) == "Title here\nOne sentence of the article that is long enough to be text.\nAnother sentence of the article follows it."
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a '", '<a "', "<!", "<!--", "<", "<div", "</p", "<p><table><td><ul>", "<x>", "<![CDATA[", "<script", "<p><foo><li>"])
+def test_tags_that_never_end_take_linear_time(model, piece):
+    import time
+
+    began = time.time()
+    H.parse("<p>text</p>" + piece * (300_000 // len(piece)))
+    assert time.time() - began < 4
+
+
+def test_what_follows_the_last_tag():
+    texts = lambda page: [n.text[0] for n in H.parse(page) if n.text]
+    assert texts("<p>a</p>b <i") == ["a", "b <i"]
+    assert texts("<p>a</p>b <!-- c <i") == ["a", "b"]
+    assert texts("<p>a</p>b <!-- c <i> d") == ["a", "b"]
+    assert texts("a <!-- b --> c") == ["a c"]
