@@ -18,6 +18,7 @@ only a sequence whose length is no power of two is padded, to ``window``.
 
 from __future__ import annotations
 
+import json
 import string
 import unicodedata
 import zlib
@@ -47,10 +48,45 @@ def stays_letters(word: str) -> bool:
     return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
 
 
+def steps(part: dict | None, inner: str) -> list[dict]:
+    """The steps of a tokenizer's normaliser or pre-tokenizer, sequences taken apart."""
+    if part is None:
+        return []
+    return [x for y in part[inner] for x in steps(y, inner)] if inner in part else [part]
+
+
+def word_by_word(source: str) -> bool:
+    """Whether a tokenizer lower-cases, cuts at white space and drops it, and closes each word, so that WordIds gives its ids."""
+    import regex
+
+    data = json.loads(source)
+    model, cuts = data["model"], steps(data.get("pre_tokenizer"), "pretokenizers")
+    if {x["type"] for x in steps(data.get("normalizer"), "normalizers")} != {"NFC", "Replace", "Lowercase"} or [x["type"] for x in cuts] != ["Split", "ByteLevel"]:
+        return False
+    split, level = cuts
+    cut = split["pattern"].get("Regex")
+    return (
+        model.get("end_of_word_suffix") == "</w>" and not model.get("continuing_subword_prefix") and not level["add_prefix_space"] and not level["use_regex"]
+        and split["behavior"] == "Removed" and split["invert"] and cut is not None and regex.findall(cut, "ab cd.,\t\u00a0e") == ["ab", "cd", ".,", "e"]
+    )
+
+
+class TextIds:
+    """Ids of whole texts, for any tokenizer."""
+
+    def __init__(self, tokenizer):
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        self.tokenizer = tokenizer
+
+    def text(self, text: bytes) -> bytes:
+        return np.asarray(self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+
 class WordIds(dict):
     """Ids of a word as packed little-endian 32-bit numbers; bounded, and refilled when full.
 
-    For tokenizers that lower-case and drop white space.
+    For tokenizers of which ``word_by_word`` holds; others take ``TextIds``.
 
     White space never lies inside a token of a tokenizer that drops it, so texts can be encoded word
     by word. ASCII marks that close a word which stays letters are apart from it there. Unknown words of
@@ -102,14 +138,14 @@ class WordIds(dict):
 
 
 @lru_cache(2)
-def word_ids(source: str) -> WordIds:
-    """The memo of a tokenizer, kept as long as a Python worker lives, so that later tasks find it filled."""
+def text_ids(source: str) -> WordIds | TextIds:
+    """A tokenizer, kept as long as a Python worker lives, so that later tasks find its memo of words filled."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return WordIds(Tokenizer.from_str(source))
+    return (WordIds if word_by_word(source) else TextIds)(Tokenizer.from_str(source))
 
 
 class Packer:
@@ -199,7 +235,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, tiers=TIERS, step_tokens:
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def run(batches):
-        words = word_ids(shipped.value)
+        ids = text_ids(shipped.value)
         packer = Packer(TaskContext.get().partitionId(), tiers, step_tokens)
 
         def out():
@@ -208,7 +244,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, tiers=TIERS, step_tokens:
 
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                packer.add(doc_id, np.frombuffer(words.text(text or b"") + closing, "<u4"))
+                packer.add(doc_id, np.frombuffer(ids.text(text or b"") + closing, "<u4"))
             if done := out():
                 yield done
         packer.close()

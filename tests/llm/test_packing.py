@@ -75,3 +75,15 @@ def test_marks_after_letters_that_normalise_to_a_combining_mark():
     for letter in ("\u0130", "\u0958", "\u09df", "\ufb1d", "\ufb4e"):
         for text in (f"{letter},", f"SANK{letter}.", f"a{letter}b!? {letter} {letter}\"", f"x {letter}, y."):
             assert np.frombuffer(words.text(text.encode()), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json"])
+def test_other_tokenizers_encode_whole_texts(spark, name):
+    path = public_tokenizers.path(name)
+    tokenizer = Tokenizer.from_file(path)
+    rows = [(i, t) for i, t in enumerate(["Some Words  here", "", None, "A\n\nB\tc", "don't STOP", "ça va été", "x" * 5000, "a  <|endoftext|> b"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for p in packing.pack(docs, path).collect():
+        ids = np.asarray(tokenizer.encode(rows[p.doc_id][1] or "", add_special_tokens=False).ids + [2], "<u4")
+        assert p.doc_tokens == len(ids) and p.ids_crc32 == zlib.crc32(ids[p.start : p.start + p.length].tobytes())
+    assert packing.word_by_word(open(PATH).read()) and not packing.word_by_word(open(path).read())
