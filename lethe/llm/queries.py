@@ -25,7 +25,7 @@ def op3_html_text(spark, sf_dir):
 
 
 def op4_mpeg_audio(spark, sf_dir):
-    return audio.index_audio(audio.to_audio(table(spark, sf_dir, "documents")))
+    return audio.index_audio(audio.store_audio(table(spark, sf_dir, "documents")))
 
 
 def op5_toxicity(spark, sf_dir):
