@@ -6,10 +6,12 @@
    packed arrays and counted; each set keeps the rarest of its shared ones, as many as the similarity
    demands, and what meets in those becomes star edges, whose components are the candidate groups. No
    pair of sets of the wanted similarity lies in two groups.
-3. A group's sets, one for each class, are joined by signature trees: leaves hold a set's bitmap and
-   size, nodes the OR of their children's bitmaps and the range of sizes, and a dual traversal drops
-   pairs of nodes whose greatest possible overlap is too small. Pairs of leaves are verified on the
-   full sets. A pair whose ends are already connected needs no check, since components are the result.
+3. Sets, one for each class, are joined by signature trees over blocks that hold many groups side by
+   side: leaves hold a set's bitmap and size, nodes the OR of their children's bitmaps and the range of
+   sizes, and a dual traversal drops pairs of nodes whose greatest possible overlap is too small. Sets lie
+   in order of their group and least hash, so that siblings are alike and nodes of different groups part
+   near the root. Pairs of leaves are verified on the full sets. A pair whose ends are already connected
+   needs no check, since components are the result.
 4. Large groups are dealt to blocks by salt, each with the same few pivots, so that most of a group
    connects in linear work. Sets that remain apart from the group's main part are then joined with all
    blocks of the group, which makes the result exact.
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lethe.llm.common import Scratch, bounded_batches, small
+from lethe.llm.common import Scratch, bounded_batches, carried, small
 from lethe.llm.components import connected_components
 from lethe.llm.shingles import BOUNDS, TAG_BITS, differences, digest, mixed, overlap, shingle_set, signatures
 
@@ -180,12 +182,16 @@ def candidate_edges(met: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 class SignatureTree:
-    """Bitmaps and size ranges of sets, level by level; level 0 are the sets, in an order that keeps like sizes together."""
+    """Bitmaps and size ranges of sets, level by level; level 0 are the sets, in order of group, least hash and size.
 
-    def __init__(self, sets: list[np.ndarray], fanout: int = 8):
+    ``seen`` tells (level, pairs, pairs kept) of the traversal, from the root down.
+    """
+
+    def __init__(self, sets: list[np.ndarray], groups: list[int] | None = None, fanout: int = 8):
         sizes = np.array([len(x) for x in sets], np.int64)
         low = np.array([int(x[0]) >> 1 for x in sets], np.int64)  # a min-hash: like sets often share it
-        self.order = np.lexsort((sizes, low))
+        self.order = np.lexsort((sizes, low, np.zeros(len(sets)) if groups is None else np.array(groups, np.int64)))
+        self.seen: list[tuple[int, int, int]] = []
         bits = 1 << int(np.clip(4 * int(sizes.max()), 256, 1 << 15) - 1).bit_length()
         maps = np.zeros((len(sets), bits), bool)
         for row, i in enumerate(self.order):
@@ -228,6 +234,7 @@ class SignatureTree:
                 need = lo[a] + lo[b]
                 near = (LEVEL[1] * hi[a] >= LEVEL[0] * lo[b]) & (LEVEL[1] * hi[b] >= LEVEL[0] * lo[a])
                 keep[at : at + 4096] = near & (most * (LEVEL[0] + LEVEL[1]) >= LEVEL[0] * need)
+            self.seen.append((level, len(front), int(keep.sum())))
             front = front[keep]
         front = front[front[:, 0] < front[:, 1]]
         return self.order[front[:, 0]], self.order[front[:, 1]]
@@ -238,7 +245,7 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return LEVEL[1] * both >= LEVEL[0] * (len(a) + len(b) - both)
 
 
-def block_links(ids: list[int], sets: list[np.ndarray], labels: list[int]) -> list[tuple[int, int]]:
+def block_links(ids: list[int], sets: list[np.ndarray], labels: list[int], groups: list[int] | None = None) -> list[tuple[int, int]]:
     """Links that connect what similar pairs connect, beyond what equal labels connect already."""
     if len(sets) < 2:
         return []
@@ -254,7 +261,7 @@ def block_links(ids: list[int], sets: list[np.ndarray], labels: list[int]) -> li
     for i, label in enumerate(labels):
         up[i] = first.setdefault(label, i)
     links = []
-    for i, j in zip(*SignatureTree(sets).pairs()):
+    for i, j in zip(*SignatureTree(sets, groups).pairs()):
         a, b = find(int(i)), find(int(j))
         if a != b and similar(sets[i], sets[j]):
             up[a] = b
@@ -263,11 +270,11 @@ def block_links(ids: list[int], sets: list[np.ndarray], labels: list[int]) -> li
 
 
 def _join_blocks(rows: DataFrame) -> DataFrame:
-    """Edges (a, b) found in blocks of rows (block, id, label, items)."""
+    """Edges (a, b) found in blocks of rows (block, grp, id, label, items)."""
 
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_pylist()
-        links = block_links(ids, [np.frombuffer(x, "<u8") for x in table.column("items").to_pylist()], table.column("label").to_pylist())
+        links = block_links(ids, [np.frombuffer(x, "<u8") for x in table.column("items").to_pylist()], table.column("label").to_pylist(), table.column("grp").to_pylist())
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
 
     return rows.groupBy("block").applyInArrow(run, "a long, b long")
@@ -276,22 +283,30 @@ def _join_blocks(rows: DataFrame) -> DataFrame:
 # --- the join
 
 
-def join_sets(docs: DataFrame, scratch: Scratch, block_rows: int = 128, pivots: int = 4, per_part: int = 2_500_000, broadcast_rows: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, digest, key) of each row, and (digest, rep, component) of each class."""
+def join_sets(
+    docs: DataFrame, scratch: Scratch, block_rows: int = 128, block_items: int = 1 << 20, pivots: int = 4, per_part: int = 2_500_000, broadcast_rows: int = 2_000_000
+) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, digest, key) of each row, and (digest, rep, component) of each class.
+
+    A block of several groups holds about four times ``block_rows`` sets, and no more than about ``block_items`` elements.
+    """
     bounded_batches(docs.sparkSession)
     sizes = scratch.write(set_sizes(docs), "sizes")
     total = sizes.agg(F.sum("n_shingles")).first()[0] or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // per_part)
-    classes = scratch.write(sizes.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("key").alias("key")), "classes")
+    classes = scratch.write(sizes.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("key").alias("key"), F.max("n_shingles").alias("size")), "classes")
     met = scratch.write(shared_signatures(docs, parts), "met")
     near = scratch.write(candidate_edges(met, scratch), "near")
     for name in ("met", "kept", "low"):
         scratch.drop(name)
     groups = connected_components(near, scratch, "groups").withColumnRenamed("component", "grp")
     # Classes in groups, and their sets from the rows of their smallest doc_ids.
-    members = scratch.write(classes.join(groups, classes["key"] == groups["id"]).select("key", "rep", "grp"), "members")
-    counts = scratch.write(members.groupBy("grp").agg(F.count(F.lit(1)).alias("n")), "counts")
-    members = scratch.write(members.join(counts, "grp").select("key", "rep", "grp", "n"), "wanted")
+    members = scratch.write(classes.join(groups, classes["key"] == groups["id"]).select("key", "rep", "grp", "size"), "members")
+    split = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block_rows), F.ceil(F.sum("size") / block_items)).cast("int")
+    counts = scratch.write(members.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("held"), split.alias("blocks")), "counts")
+    one = counts.where(F.col("blocks") == 1).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("held"), F.lit(0))).first()
+    shelves = max(1, one[0] // (4 * block_rows), one[1] // block_items)  # blocks of several groups
+    members = scratch.write(members.join(counts, "grp").select("key", "rep", "grp", "blocks"), "wanted")
     n_members = members.count()
 
     def sets(batches):
@@ -302,13 +317,13 @@ def join_sets(docs: DataFrame, scratch: Scratch, block_rows: int = 128, pivots:
     reps = members.select("rep").distinct()
     texts = _texts(docs).join(small(reps, n_members, broadcast_rows), F.col("doc_id") == F.col("rep"), "left_semi").select("text")
     items = texts.mapInArrow(sets, "id long, items binary").join(small(members, n_members, broadcast_rows), F.col("id") == F.col("key"))
-    items = scratch.write(items.select("grp", "n", "id", "items"), "items")
+    items = scratch.write(items.select("grp", "blocks", "id", "items"), "items")
     if items.count() > n_members:  # rows of one doc_id repeat a set
         items = scratch.write(items.dropDuplicates(["id"]), "unique")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / block_rows)).cast("int")
-    items = items.withColumn("blocks", blocks)
     salt = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    own = items.select(F.struct("grp", salt.alias("x"), F.lit(0).alias("y")).alias("block"), "id", F.col("id").alias("label"), "items")
+    alone, shelf = F.col("blocks") == 1, F.pmod(F.xxhash64("grp"), F.lit(shelves))
+    block = F.struct(F.when(alone, shelf).otherwise(F.col("grp")).alias("grp"), F.when(alone, F.lit(-1)).otherwise(salt).alias("x"), F.lit(0).alias("y"))
+    own = items.select(block.alias("block"), "grp", "id", F.col("id").alias("label"), "items")
     by_hash = Window.partitionBy("grp").orderBy(F.xxhash64("id"), "id")
     shared = (
         items.where(F.col("blocks") > 1)
@@ -316,7 +331,7 @@ def join_sets(docs: DataFrame, scratch: Scratch, block_rows: int = 128, pivots:
         .where(F.col("rank") <= pivots)
         .withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .where(F.col("x") != salt)
-        .select(F.struct("grp", "x", F.lit(0).alias("y")).alias("block"), "id", F.col("id").alias("label"), "items")
+        .select(F.struct("grp", "x", F.lit(0).alias("y")).alias("block"), "grp", "id", F.col("id").alias("label"), "items")
     )
     links = scratch.write(_join_blocks(own.union(shared)), "links")
     large = items.where(F.col("blocks") > 1)
@@ -355,7 +370,7 @@ def _join_rest(large: DataFrame, found: DataFrame, scratch: Scratch, block_rows:
     x, y = F.pmod(spot, F.col("rest_chunks")).cast("int"), F.pmod(spot, F.col("all_chunks")).cast("int")
     left = rows.where(F.col("label") != F.col("main")).select("grp", x.alias("x"), ys.alias("y"), "id", "label", "items")
     right = rows.select("grp", F.explode(F.sequence(F.lit(0), F.col("rest_chunks") - 1)).alias("x"), y.alias("y"), "id", "label", "items")
-    blocks = left.union(right).select(F.struct("grp", "x", "y").alias("block"), "id", "label", "items").dropDuplicates(["block", "id"])
+    blocks = left.union(right).select(F.struct("grp", "x", "y").alias("block"), "grp", "id", "label", "items").dropDuplicates(["block", "id"])
     return _join_blocks(blocks)
 
 
@@ -369,9 +384,8 @@ def ngram_join(docs: DataFrame, **options) -> DataFrame:
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
     """docs with one document of each component, that of the smallest doc_id; texts without words all stay."""
     sizes, classes = join_sets(docs, Scratch(docs.sparkSession, "ngram-join"), **options)
-    gone = sizes.join(classes, "digest").where(F.col("doc_id") != F.col("component")).select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, F.coalesce(docs["doc_id"], F.lit(NO_ID)) == gone["__gone"], "left_anti")
-    return kept.select(*docs.columns)
+    gone = sizes.join(classes, "digest").where(F.col("doc_id") != F.col("component")).select(F.col("doc_id").alias("id")).distinct()
+    return docs.select(carried(docs), F.coalesce("doc_id", F.lit(NO_ID)).alias("id")).join(gone, "id", "left_anti").select("row.*")
 
 
 SQL = r"""

@@ -137,3 +137,34 @@ def test_near_copies_of_many_null_ids_and_of_a_document_of_two_texts(spark, bloc
     assert len(got) == len(rows)
     assert {r.component_id for r in got if r.doc_id is None or r.doc_id < 100} == {ngram_join.NO_ID}
     assert {r.component_id for r in got if r.doc_id is not None and r.doc_id >= 100} == {100}
+
+
+def test_node_pairs_of_different_groups_part_above_the_leaves(spark):
+    """A block of many groups: what pairs of nodes the traversal drops, level by level, and that no similar pair is lost."""
+    r = np.random.default_rng(8)
+    sets, groups = [], []
+    for g in range(60):
+        base = np.unique(r.integers(0, 1 << 63, int(r.integers(20, 300)), dtype=np.uint64))
+        for _ in range(int(r.integers(2, 14))):
+            sets.append(np.delete(base, r.choice(len(base), r.integers(0, len(base) // 8 + 1), replace=False)))
+            groups.append(g * 7919)
+    tree = ngram_join.SignatureTree(sets, groups)
+    kept = {tuple(sorted(map(int, p))) for p in zip(*tree.pairs())}
+    assert {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if ngram_join.similar(sets[i], sets[j])} <= kept
+    assert [x[0] for x in tree.seen] == list(range(len(tree.levels) - 1, -1, -1)) and len(tree.levels) >= 4
+    above = {level: kept / pairs for level, pairs, kept in tree.seen if level}
+    assert above[1] < 0.2  # of the pairs of nodes of eight sets
+
+
+def test_long_texts_and_clashing_names(spark):
+    r = random.Random(9)
+    long = [f"w{r.randrange(5000)}" for _ in range(60_000)]
+    other = list(long)
+    for _ in range(500):
+        other[r.randrange(len(other))] = "changed"
+    names = ["row", "id", "__gone", "component", "digest", "a.b"]
+    rows = [(i, t, *names) for i, t in enumerate([" ".join(long), " ".join(other), "x" * 300_000, "short text"])]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    kept = ngram_join.drop_near_copies(docs, block_items=1 << 14)
+    assert kept.schema == docs.schema
+    assert sorted(map(tuple, kept.collect())) == sorted(r for r in rows if r[0] != 1)
