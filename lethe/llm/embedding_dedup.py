@@ -8,9 +8,10 @@
    get a list twice as long. Rounds end when few lists change, or no change is a link.
 4. An audit compares a bounded sample of vectors with all others, and further leaves and rounds follow
    while too few of its links are connected.
-5. Edges at or above the threshold stay; their components are the groups. Inside a group each vector's
-   links are counted exactly, however long its list was: around a large group's centre all are linked
-   and needn't be compared, and blocks count the rest without emitting pairs.
+5. Edges at or above the threshold stay, of all rounds; their components are the groups. Inside a group
+   each vector's links are counted exactly, however long its list was: a large group is dealt to cells
+   around pivots, of which the triangle inequality tells those apart that hold no link or nothing else,
+   and blocks count the rest without emitting pairs.
 
 Defined cases: vectors that are null, empty or zero, or hold null or non-finite components, link with
 nothing; vectors of different lengths link with nothing; scaled copies have cosine 1; repeated vec_ids
@@ -21,7 +22,9 @@ each, linked with nothing; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import logging
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,7 @@ from lethe.llm.common import Scratch, bounded_batches
 from lethe.llm.components import connected_components
 
 BITS = 48
+LOG = logging.getLogger(__name__)
 
 
 def pack(vector: np.ndarray) -> bytes:
@@ -219,9 +223,14 @@ def audit(classes: DataFrame, n: int, sample: int, threshold: float) -> DataFram
 
 def near_links(
     vectors: DataFrame, threshold: float = 0.95, k: int = 12, most: int = 96, trees: int = 6, leaf: int = 128, rounds: int = 4, little: float = 0.01,
-    sample: int = 256, recall: float = 0.98, extra: int = 2, block: int = 512,
+    sample: int = 256, recall: float = 0.98, least: float = 0.9, extra: int = 2, block: int = 512,
 ) -> DataFrame:
-    """vec_id, n_links, component_id, kept for each row of (vec_id, embedding)."""
+    """vec_id, n_links, component_id, kept for each row of (vec_id, embedding).
+
+    Links inside components are counted exactly, so a true link is found if its ends lie in one
+    component; that share of the audit's links is logged. Links that the audit finds are kept. Below
+    ``recall`` another attempt follows, ``extra`` at most; below ``least`` after the last one, the job fails.
+    """
     spark = vectors.sparkSession
     bounded_batches(spark)
     scratch = Scratch(spark, "embeddings")
@@ -229,28 +238,46 @@ def near_links(
     classes = points.groupBy("dim", "key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight"), F.min("raw").alias("raw"))
     classes = scratch.write(classes, "classes")
     n = classes.count()
-    lists, found = None, None
+    ends = lambda x: x.where(F.col("sim") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b"))
+    lists = links = found = None
     for attempt in range(extra + 1):
         edges = _leaf_edges(classes, n, scratch, f"leaves-{attempt}", k, trees, leaf, seed=101 + attempt)
-        edges = edges if lists is None else edges.union(lists)
-        lists = scratch.write(_nearest(edges, k), f"lists-{attempt}-0")
+        if lists is None:
+            lists = scratch.write(_nearest(edges, k), f"lists-{attempt}-0")
+        else:  # lists keep the lengths that they have grown to
+            lengths = scratch.write(lists.groupBy("u").agg(F.greatest(F.lit(k), F.count(F.lit(1))).alias("k")), f"lengths-{attempt}")
+            all_ids = classes.select(F.col("id").alias("u")).join(lengths, "u", "left").select("u", F.coalesce("k", F.lit(k)).alias("k"))
+            lists = scratch.write(_nearest(edges.union(lists), all_ids), f"lists-{attempt}-0")
+        seen = [lists]
         for step in range(1, rounds + 1):
             # A list full of links is saturated and may grow to twice its length, up to ``most``.
             full = lists.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("low"))
-            grown = F.when((F.col("n") >= k) & (F.col("low") >= threshold), F.least(F.lit(most), 2 * F.col("n"))).otherwise(F.greatest(F.lit(k), "n"))
+            grown = F.when((F.col("n") >= k) & (F.col("low") >= threshold), F.greatest(F.col("n"), F.least(F.lit(most), 2 * F.col("n")))).otherwise(F.greatest(F.lit(k), "n"))
             sizes = scratch.write(full.select("u", grown.alias("k")), f"sizes-{attempt}-{step}")
             new = scratch.write(_descend(lists, sizes, classes, scratch, f"round-{attempt}-{step}", threshold, k), f"lists-{attempt}-{step}")
             fresh = new.join(lists, ["u", "v"], "left_anti").agg(F.count(F.lit(1)), F.count_if(F.col("sim") >= threshold)).first()
             lists = new
+            seen.append(lists)
             if fresh[0] <= little * k * n or not fresh[1]:
                 break
-        links = lists.where(F.col("sim") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b"))
-        found = scratch.write(connected_components(links, scratch, f"links-{attempt}"), f"found-{attempt}")
+        # Every link that any list has held counts, of this attempt and of those before.
+        held = reduce(DataFrame.union, map(ends, seen), ends(lists) if links is None else links)
+        links = scratch.write(held.distinct(), f"links-{attempt}")
+        found = scratch.write(connected_components(links, scratch, f"components-{attempt}"), f"found-{attempt}")
         truth = scratch.write(audit(classes, n, sample, threshold), f"audit-{attempt}")
         side = lambda c: found.select(F.col("id").alias(c), F.col("component").alias(f"{c}_of"))
         met = truth.join(side("u"), "u", "left").join(side("v"), "v", "left").agg(F.count(F.lit(1)), F.count_if(F.col("u_of") == F.col("v_of"))).first()
-        if met[1] >= recall * met[0]:
+        share = met[1] / met[0] if met[0] else 1.0
+        LOG.info("attempt %d: %.4f of %d audited links lie inside a component", attempt, share, met[0])
+        if share == 1.0:
             break
+        links = scratch.write(links.union(truth.select(F.col("u").alias("a"), F.col("v").alias("b"))).distinct(), f"links-{attempt}-told")
+        found = scratch.write(connected_components(links, scratch, f"components-{attempt}-told"), f"found-{attempt}-told")
+        if share >= recall:
+            break
+    else:
+        if share < least:
+            raise RuntimeError(f"recall {share:.3f} of {met[0]} audited links after {extra + 1} attempts: allow more attempts, trees or longer lists")
     counts = _link_counts(classes, found, scratch, threshold, block)
     whole = classes.join(found, "id", "left").join(counts, "id", "left")
     whole = scratch.write(
@@ -265,10 +292,7 @@ def near_links(
 def _link_counts(classes: DataFrame, found: DataFrame, scratch: Scratch, threshold: float, block: int) -> DataFrame:
     """(id, links): the weights of the other classes of the component at or above the threshold.
 
-    A component of up to ``block`` classes is compared in one block. In a larger one, the vectors
-    within half the threshold's angle of its centre are all linked with each other, by the triangle
-    inequality, and are counted without being compared; only the others meet the whole component, in
-    blocks.
+    A component of up to ``block`` classes is compared in one block, a larger one cell by cell.
     """
     sizes = scratch.write(found.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "component-sizes")
     members = classes.join(found, "id").select("id", "raw", "weight", "component")
@@ -286,9 +310,22 @@ def _link_counts(classes: DataFrame, found: DataFrame, scratch: Scratch, thresho
     return counts.groupBy("id").agg(F.sum("links").alias("links"))
 
 
-def _large_counts(large: DataFrame, scratch: Scratch, threshold: float, block: int) -> DataFrame:
-    """(id, links) parts for the vectors of large components."""
-    inner = math.sqrt((1 + threshold) / 2) + 1e-9  # cosine of half the angle, on the safe side
+CELLS = "component long, id long, raw binary, weight long, cell int, angle double"
+
+
+def _angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(a @ b.T, -1, 1))
+
+
+def _cells(large: DataFrame, scratch: Scratch, threshold: float, most: int, room: int) -> tuple[DataFrame, DataFrame]:
+    """(component, id, raw, weight, cell, angle): each vector of a large component with its nearest pivot and the angle to it; and the pivots.
+
+    A component's pivots are its centre and vectors drawn by hash, one in sixteen but ``most`` at the
+    most, of which those stay that are half the threshold's angle apart.
+    Cells are even numbers; a vector within half the threshold's angle of its pivot is in the odd one beside.
+    """
+    widest = math.acos(threshold)
+    half = widest / 2 - 1e-6
 
     def partial(batches):
         sums: dict[int, np.ndarray] = {}
@@ -301,43 +338,119 @@ def _large_counts(large: DataFrame, scratch: Scratch, threshold: float, block: i
         if sums:
             yield _sum_rows(sums)
 
-    def whole(table: pa.Table) -> pa.Table:
-        total = np.sum([np.frombuffer(r, "<f8") for r in table.column("raw").to_pylist()], axis=0)
-        return pa.table({"component": table.column("component").slice(0, 1), "centre": pa.array([total.tobytes()], pa.binary())})
-
-    centres = large.mapInArrow(partial, "component long, raw binary").groupBy("component").applyInArrow(whole, "component long, centre binary")
-    centres = scratch.write(centres, "centres")
-
-    def place(batches):
-        for batch in batches:
-            if not len(batch):
-                continue
-            x, c = unpack(batch.column("raw").to_pylist()), np.stack([np.frombuffer(r, "<f8") for r in batch.column("centre").to_pylist()])
-            size = np.linalg.norm(x, axis=1) * np.linalg.norm(c, axis=1)
-            core = np.einsum("ij,ij->i", x, c) >= inner * np.maximum(size, 1e-300)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in names[:-1]), pa.array(core)], names)
-
-    names = ["id", "raw", "weight", "component", "n", "core"]
-    rows = large.join(centres, "component").select(*names[:-1], "centre")
-    placed = scratch.write(rows.mapInArrow(place, "id long, raw binary, weight long, component long, n long, core boolean"), "placed")
-    totals = placed.groupBy("component").agg(F.sum(F.when(F.col("core"), F.col("weight")).otherwise(0)).alias("inside"), F.count_if(~F.col("core")).alias("m"))
-    placed = scratch.write(placed.join(scratch.write(totals, "totals"), "component"), "told")
-    inside = placed.where("core").select("id", (F.col("inside") - F.col("weight")).alias("links"))
-    chunks = lambda n: F.greatest(F.lit(1), F.ceil(2 * n / block)).cast("int")
-    rows = placed.where(F.col("m") > 0).withColumn("xs", chunks(F.col("m"))).withColumn("ys", chunks(F.col("n")))
-    spot, each = F.xxhash64("id"), lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    left = rows.where(~F.col("core")).select("component", F.pmod(spot, "xs").cast("int").alias("x"), each("ys").alias("y"), "id", "weight", "raw", F.lit(True).alias("asks"), F.lit(False).alias("told"))
-    right = rows.select("component", each("xs").alias("x"), F.pmod(spot, "ys").cast("int").alias("y"), "id", "weight", "raw", F.lit(False).alias("asks"), F.col("core").alias("told"))
+    def net(table: pa.Table) -> pa.Table:
+        raws, centre = table.column("raw").to_pylist(), table.column("centre").to_pylist()
+        total = np.sum([np.frombuffer(r, "<f8") for r, c in zip(raws, centre) if c], axis=0)
+        drawn = sorted(r for r, c in zip(raws, centre) if not c)
+        x = np.random.default_rng(len(drawn)).permutation(unit(drawn))
+        # Where cells around all of them would mostly be within reach of each other, an eighth makes cells of a handier size.
+        between = np.sort(_angles(x, x), axis=1)
+        reach = 2 * np.median(between[:, min(1, len(x) - 1)]) + widest
+        if (between <= reach).mean() > 0.2:
+            x = x[: -(-len(x) // 8)]
+        if np.linalg.norm(total) > 1e-6:
+            x = np.concatenate([total[None] / np.linalg.norm(total), x])
+        kept, open_ = [], np.ones(len(x), bool)
+        for i in range(len(x)):
+            if open_[i]:
+                kept.append(x[i])
+                open_ &= _angles(x, x[i : i + 1])[:, 0] > half
+        pivots = b"".join(p.tobytes() for p in kept)
+        return pa.table({"component": table.column("component").slice(0, 1), "pivots": pa.array([pivots], pa.binary())})
+
+    want = F.least(F.lit(most), F.ceil(F.greatest(4 * F.sqrt("n"), F.col("n") / 16))).cast("int")
+    spot = F.xxhash64("id", F.lit(31))
+    place = F.row_number().over(Window.partitionBy("component").orderBy(spot, "id"))
+    drawn = large.select("component", "raw", "id", "n").withColumn("place", place).where(F.col("place") <= most).where(F.col("place") <= want)
+    sums = large.mapInArrow(partial, "component long, raw binary").select("component", "raw", F.lit(True).alias("centre"))
+    pivots = sums.union(drawn.select("component", "raw", F.lit(False))).groupBy("component").applyInArrow(net, "component long, pivots binary")
+    pivots = scratch.write(pivots, "pivots")
+
+    def assign(table: pa.Table) -> pa.Table:
+        raws, held = table.column("raw").to_pylist(), [p for p in table.column("pivots").to_pylist() if p]
+        at = [i for i, r in enumerate(raws) if r is not None]
+        if not at:
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.float64())], [c.split()[0] for c in CELLS.split(", ")])
+        x = unit([raws[i] for i in at])
+        angles = _angles(x, np.frombuffer(held[0], "<f8").reshape(-1, x.shape[1]))
+        cell = angles.argmin(axis=1)
+        angle = angles[np.arange(len(at)), cell]
+        rows = table.take(at)
+        return pa.table({k: rows.column(k) for k in ("component", "id", "raw", "weight")} | {"cell": pa.array((2 * cell + (angle <= half)).astype(np.int32)), "angle": pa.array(angle)})
+
+    # Vectors are dealt to blocks by salt, and the pivots go to each of them as one row.
+    blocks = F.ceil(F.col("n") / room).cast("int")
+    rows = large.select("component", F.pmod(F.xxhash64("id", F.lit(3)), blocks).cast("int").alias("x"), "id", "raw", "weight", F.lit(None).cast("binary").alias("pivots"))
+    each = large.groupBy("component").agg(F.max(blocks).alias("b")).join(pivots, "component").select("component", F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("x"), "pivots")
+    told = each.select("component", "x", F.lit(None).cast("long").alias("id"), F.lit(None).cast("binary").alias("raw"), F.lit(None).cast("long").alias("weight"), "pivots")
+    return scratch.write(rows.union(told).groupBy("component", "x").applyInArrow(assign, CELLS), "cells"), pivots
+
+
+def _cell_pairs(cells: DataFrame, pivots: DataFrame, threshold: float) -> DataFrame:
+    """(component, a, b, whole): pairs of cells, a <= b, that hold links by the triangle inequality; whole: nothing but links."""
+    widest = math.acos(threshold)
+    sizes = cells.groupBy("component", "cell").agg(F.max("angle").alias("radius"))
+
+    def pairs(table: pa.Table) -> pa.Table:
+        cell, radius = table.column("cell").to_numpy(), table.column("radius").to_numpy()
+        packed, n = next(p for p in table.column("pivots").to_pylist() if p), int(table.column("n_pivots")[0].as_py())
+        x = np.frombuffer(packed, "<f8").reshape(n, -1)[cell >> 1]
+        between = _angles(x, x)
+        spread = radius[:, None] + radius[None, :]
+        a, b = np.nonzero((between - spread <= widest + 1e-6) & (cell[:, None] <= cell[None, :]))
+        whole = (between + spread)[a, b] <= widest - 1e-6
+        return pa.table({"component": pa.array(np.full(len(a), table.column("component")[0].as_py())), "a": cell[a], "b": cell[b], "whole": whole})
+
+    dims = cells.groupBy("component").agg(F.min("raw").alias("one"))
+    width = F.when(F.substring("one", 1, 1) == F.lit(b"4"), (F.octet_length("one") - 1) / 4).otherwise((F.octet_length("one") - 1) / 8)
+    held = pivots.join(dims, "component").select("component", "pivots", (F.octet_length("pivots") / 8 / width).cast("int").alias("n_pivots"))
+    first = sizes.groupBy("component").agg(F.min("cell").alias("cell")).join(held, "component")  # the pivots travel once
+    n_pivots = held.select("component", "n_pivots")
+    rows = sizes.join(n_pivots, "component").join(first.select("component", "cell", "pivots"), ["component", "cell"], "left")
+    return rows.groupBy("component").applyInArrow(pairs, "component long, a int, b int, whole boolean")
+
+
+def _large_counts(large: DataFrame, scratch: Scratch, threshold: float, block: int, most: int = 2048) -> DataFrame:
+    """(id, links) parts for the vectors of large components.
+
+    Vectors are dealt to cells around pivots. Pairs of cells too far apart to hold a link are passed
+    over, pairs so close that all is linked are counted by weight, and only the others are compared, in
+    blocks: along a chain of vectors that is a bounded number of cells for each, and inside a dense group
+    nothing. Cells of a component far longer than ``most`` pivots can tell apart stay large, and the
+    work is then quadratic in them.
+    """
+    cells, pivots = _cells(large, scratch, threshold, most, 8 * block)
+    pairs = scratch.write(_cell_pairs(cells, pivots, threshold), "cell-pairs")
+    sizes = cells.groupBy("component", "cell").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("total"))
+    sizes = scratch.write(sizes, "cell-sizes")
+    both = pairs.select("component", F.col("a").alias("cell"), F.col("b").alias("other"), "whole")
+    both = both.union(pairs.where("a != b").select("component", "b", "a", "whole"))
+    sums = both.where("whole").join(sizes.withColumnRenamed("cell", "other"), ["component", "other"])
+    sums = scratch.write(sums.groupBy("component", "cell").agg(F.sum("total").alias("sum"), F.max(F.col("cell") == F.col("other")).alias("self")), "whole")
+    counted = cells.join(sums, ["component", "cell"]).select("id", (F.col("sum") - F.when(F.col("self"), F.col("weight")).otherwise(0)).alias("links"))
+    chunks = F.greatest(F.lit(1), F.ceil(2 * F.col("n") / block)).cast("int")
+    size = sizes.select("component", "cell", chunks.alias("chunks"))
+    met = pairs.where(~F.col("whole")).join(size.select("component", F.col("cell").alias("a"), F.col("chunks").alias("xs")), ["component", "a"])
+    met = scratch.write(met.join(size.select("component", F.col("cell").alias("b"), F.col("chunks").alias("ys")), ["component", "b"]), "met")
+    dealt = cells.join(size, ["component", "cell"]).withColumn("at", F.pmod(F.xxhash64("id"), "chunks").cast("int")).select("component", "cell", "id", "weight", "raw", "at")
+    dealt = scratch.write(dealt, "dealt")
+    side = lambda mine, n: dealt.join(met.withColumn("cell", F.col(mine)), ["component", "cell"]).withColumn("to", F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
+    one = F.col("a") == F.col("b")
+    left = side("a", "ys").where(~one | (F.col("at") <= F.col("to"))).select("component", "a", "b", F.col("at").alias("x"), F.col("to").alias("y"), "id", "weight", "raw", F.lit(True).alias("asks"))
+    right = side("b", "xs").where(~one | (F.col("to") < F.col("at"))).select("component", "a", "b", F.col("to").alias("x"), F.col("at").alias("y"), "id", "weight", "raw", F.lit(False).alias("asks"))
 
     def compare(table: pa.Table) -> pa.Table:
-        ids, weight, asks, told = (table.column(k).to_numpy() for k in ("id", "weight", "asks", "told"))
+        ids, weight, asks = (table.column(k).to_numpy() for k in ("id", "weight", "asks"))
         x = unit(table.column("raw").to_pylist())
         a, b = np.flatnonzero(asks), np.flatnonzero(~asks)
-        near = (x[a] @ x[b].T >= threshold) & (ids[a][:, None] != ids[b][None, :])
-        mine, theirs = near @ weight[b], (near.T @ weight[a])[told[b]]
-        return pa.table({"id": np.concatenate([ids[a], ids[b][told[b]]]), "links": np.concatenate([mine, theirs])})
-
-    return inside.union(left.union(right).groupBy("component", "x", "y").applyInArrow(compare, "id long, links long"))
+        if table.column("a")[0] == table.column("b")[0] and table.column("x")[0] == table.column("y")[0]:  # a chunk with itself
+            near = x[a] @ x[a].T >= threshold
+            np.fill_diagonal(near, False)
+            return pa.table({"id": ids[a], "links": near @ weight[a]})
+        near = x[a] @ x[b].T >= threshold
+        return pa.table({"id": np.concatenate([ids[a], ids[b]]), "links": np.concatenate([near @ weight[b], near.T @ weight[a]])})
+
+    return counted.union(left.union(right).groupBy("component", "a", "b", "x", "y").applyInArrow(compare, "id long, links long"))
 
 
 def _sum_rows(sums: dict[int, np.ndarray]) -> pa.RecordBatch:

@@ -80,3 +80,44 @@ def test_sf001_embeddings(spark):
 def test_empty_table_and_no_links(spark):
     assert run(spark, []) == {}
     assert run(spark, [(1, [1.0, 0.0]), (2, [0.0, 1.0])]) == {1: (0, 1, True), 2: (0, 2, True)}
+
+
+def test_a_long_chain_is_counted_without_comparing_all_pairs(spark, tmp_path):
+    """A long winding curve and a dense knot on it, one component: exact counts from a small share of the pairs."""
+    r = np.random.default_rng(4)
+    n, knot, dim = 20_000, 2_000, 64
+    t = np.arange(n)[:, None] * 0.02 * r.standard_normal((1, dim // 2))
+    x = np.concatenate([np.cos(t), np.sin(t)], axis=1)
+    x = np.concatenate([x, x[0] + 0.03 * r.standard_normal((knot, dim))]).astype("<f4")
+    weight = r.integers(1, 4, n + knot)
+    rows = [(i, dim, embedding_dedup.pack(v.astype(float)), int(w)) for i, (v, w) in enumerate(zip(x, weight))]
+    classes = spark.createDataFrame(rows, "id long, dim long, raw binary, weight long")
+    found = classes.select("id", embedding_dedup.F.lit(0).cast("long").alias("component"))
+    scratch = embedding_dedup.Scratch(spark, "chain-test")
+    got = {r.id: r.links for r in embedding_dedup._link_counts(classes, found, scratch, 0.95, 512).collect()}
+    u = embedding_dedup.unit([row[2] for row in rows])
+    for at in range(0, n + knot, 2000):
+        near = u[at : at + 2000] @ u.T >= 0.95
+        want = near @ weight - weight[at : at + 2000]
+        assert [got.get(at + i, 0) for i in range(len(want))] == want.tolist()
+    met = spark.read.parquet(scratch.path("cell-pairs"))
+    sizes = spark.read.parquet(scratch.path("cell-sizes")).select("cell", "n")
+    pairs = met.where("not whole").join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b").selectExpr("sum(na * nb)").first()[0]
+    assert pairs < 0.05 * (n + knot) ** 2, pairs
+
+
+def test_recall_below_the_least_fails(spark):
+    import pytest
+
+    r = np.random.default_rng(3)
+    base = r.standard_normal((60, 24))
+    rows = [(i, [float(v) for v in base[i % 60] + 0.05 * r.standard_normal(24)]) for i in range(240)]
+    with pytest.raises(RuntimeError, match="recall"):
+        run(spark, rows, k=1, most=1, trees=1, leaf=2, rounds=1, extra=0, least=1.0, recall=1.0)
+
+
+def test_clashing_column_names(spark):
+    rows = [(1, [1.0, 0.0], 1, "x"), (2, [1.0, 0.01], 2, "y"), (3, [0.0, 1.0], 3, "z")]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, id int, component string")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_links(vectors).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3)}
