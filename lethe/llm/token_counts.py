@@ -23,11 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lethe.llm.common import Scratch, bounded_batches, small, text_or_empty
+from lethe.llm.common import Scratch, bounded_batches, text_or_empty
 
 SCHEMA = "digest binary, tokenizer string, n_tokens long"
 CHUNK_CHARS = 1 << 20
-BROADCAST_ROWS = 100_000  # of 40 bytes
 
 
 class CountCache:
@@ -107,13 +106,13 @@ def count_tokens(docs: DataFrame, path: str, cache_path: str | None = None, limi
     key = F.coalesce("doc_id", F.lit(-1 << 63))
     seen = scratch.write(docs.select("doc_id", digest.alias("digest"), F.octet_length(text_or_empty()).cast("long").alias("n_bytes")), "digests")
     first = seen.groupBy("digest").agg(F.min(key).alias("first_id"))
-    misses = scratch.write(first.join(cache.counts(version), "digest", "left_anti"), "misses")
-    # Few misses are broadcast, so that a warm cache shuffles no text; many are met where texts are shuffled.
-    wanted = small(misses, misses.count(), BROADCAST_ROWS)
-    texts = docs.select(key.alias("first_id"), digest.alias("digest"), text_or_empty().alias("text")).join(wanted, ["digest", "first_id"], "left_semi")
+    misses = first.join(cache.counts(version), "digest", "left_anti")
+    texts = docs.select(key.alias("first_id"), digest.alias("digest"), text_or_empty().alias("text")).join(misses, ["digest", "first_id"], "left_semi")
     if not repeated_ids(seen, key).isEmpty():
         texts = texts.dropDuplicates(["digest"])  # rows that repeat both doc_id and text
     counted = count_texts(texts, path)
     cache.append(counted, version)
-    out = seen.join(cache.counts(version), "digest", "left")
+    # Written, so that both sides of the join are plain shuffles and a very common text's rows can be split.
+    held = scratch.write(cache.counts(version), "counts")
+    out = seen.join(held, "digest", "left")
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
