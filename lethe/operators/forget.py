@@ -38,16 +38,31 @@ def valued(rows: DataFrame, now: int, d: Decay, default_event: int | None = None
     return rows.withColumn("effective", s).withColumn("value", decay.memory_value(s, since, now, d)).withColumn("retained", decay.retained(since, now, d))
 
 
+def is_doomed(now: int, d: Decay, pressure: float = 1.0, default_event: int | None = None) -> Column:
+    """Whether consolidation forgets a candidate."""
+    return decay.forgettable(decay.memory_significance(d, default_event), decay.decay_timestamp(), now, d, pressure)
+
+
 def doomed(rows: DataFrame, now: int, d: Decay, pressure: float = 1.0, default_event: int | None = None) -> DataFrame:
     """Candidates that consolidation forgets."""
-    s = decay.memory_significance(d, default_event)
-    return rows.where(decay.forgettable(s, decay.decay_timestamp(), now, d, pressure))
+    return rows.where(is_doomed(now, d, pressure, default_event))
 
 
 def event_less(memories: DataFrame) -> DataFrame:
     return memories.where(F.col("event_id") == "")
 
 
+def by_event(rows: DataFrame, goes: Column) -> DataFrame:
+    """(event_id, doomed, emptied): how many memories of each event go, and whether that leaves a known event empty."""
+    out = rows.groupBy("event_id").agg(F.count_if(goes).alias("doomed"), F.count(F.lit(1)).alias("n"), F.max("has_event").alias("known"))
+    return out.select("event_id", "doomed", (F.col("known") & (F.col("doomed") == F.col("n"))).alias("emptied"))
+
+
+def emptied_by(rows: DataFrame, goes: Column) -> DataFrame:
+    """(event_id) of known events all of whose memories go, in one aggregation."""
+    return by_event(rows, goes).where("emptied").select("event_id")
+
+
 def emptied_events(rows: DataFrame, gone: DataFrame) -> DataFrame:
     """(event_id) of known events all of whose memories go."""
     total = rows.where(F.col("has_event")).groupBy("event_id").agg(F.count(F.lit(1)).alias("n"))
@@ -67,16 +82,22 @@ def doomed_events(events: DataFrame, memories: DataFrame, now: int, d: Decay, pr
     return empty_events(events, memories).where(decay.forgettable(decay.event_significance(d), since, now, d, pressure))
 
 
-def prefix_sums(rows: DataFrame, order: list[str], amount: str, name: str = "before") -> DataFrame:
+SMALL_ROWS = 200_000  # of numbers and ids: what one task puts in order
+
+
+def prefix_sums(rows: DataFrame, order: list[str], amount: str, name: str = "before", n: int | None = None) -> DataFrame:
     """rows with the sum of ``amount`` over all rows that come earlier in the order.
 
     Rows are dealt to ranges of the order and written; each range's total is added up over the ranges
-    (as many rows as there are partitions), and windows run inside ranges only.
+    (as many rows as there are partitions), and windows run inside ranges only. Where ``n``, their
+    counted number, is small, one window does.
     """
     spark = rows.sparkSession
+    if n is not None and n <= SMALL_ROWS:
+        return rows.withColumn(name, F.coalesce(F.sum(amount).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     scratch = Scratch(spark, "prefix-sums")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = scratch.write(rows.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()), "dealt")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = scratch.write(rows.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "dealt")
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = dealt.groupBy("__part").agg(F.sum(amount).alias("__sum")).withColumn("__offset", F.coalesce(F.sum("__sum").over(before), F.lit(0))).drop("__sum")
     inside = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
@@ -84,22 +105,32 @@ def prefix_sums(rows: DataFrame, order: list[str], amount: str, name: str = "bef
     return out.withColumn(name, F.col("__offset") + F.col("__inside")).drop("__part", "__offset", "__inside")
 
 
+def _step() -> Column:
+    """A coarse step of value, of bounded number."""
+    return F.when(F.col("place") <= 0, F.lit(-100_000)).otherwise(F.floor(F.log2("place") * 8).cast("int"))
+
+
 def evicted(rows: DataFrame, excess: int) -> DataFrame:
-    """Of valued candidates, those that eviction takes: the least valuable, none of them retained, while the bytes taken are short of the excess."""
+    """Of valued candidates, those that eviction takes: the least valuable, none of them retained, while the bytes taken are short of the excess.
+
+    Callers write rows first, since they are read twice: a histogram over coarse steps of value tells up
+    to which step the excess reaches, so that only the low tail is put in order.
+    """
     if excess <= 0:
         return rows.limit(0).withColumn("freed_before", F.lit(0).cast("long"))
     open_rows = rows.where(~F.col("retained")).withColumn("stored_bytes", F.col("body_bytes") + ROW_BYTES).withColumn("place", F.round("value", 9))
-    open_rows = Scratch(rows.sparkSession, "evict").write(open_rows, "open")  # valued once, read by the steps below
-    # A histogram over coarse steps of value, of bounded size, tells up to which step the excess reaches,
-    # so that only the low tail is put in order.
-    step = F.when(F.col("place") <= 0, F.lit(-100_000)).otherwise(F.floor(F.log2("place") * 8).cast("int"))
-    taken, cut = 0, None
-    for r in open_rows.groupBy(step.alias("s")).agg(F.sum("stored_bytes").alias("b")).orderBy("s").collect():
-        taken, cut = taken + r.b, r.s
+    steps = open_rows.groupBy(_step().alias("s")).agg(F.sum("stored_bytes").alias("b"), F.count(F.lit(1)).alias("n")).orderBy("s").collect()
+    return _tail(open_rows, steps, excess)
+
+
+def _tail(open_rows: DataFrame, steps: list, excess: int) -> DataFrame:
+    taken, cut, n = 0, None, 0
+    for r in steps:
+        taken, cut, n = taken + r.b, r.s, n + r.n
         if taken >= excess:
             break
-    tail = open_rows.where(step <= cut) if cut is not None else open_rows
-    return prefix_sums(tail, ["place", "id"], "stored_bytes", "freed_before").where(F.col("freed_before") < excess).drop("stored_bytes", "place")
+    tail = open_rows.where(_step() <= cut) if cut is not None else open_rows
+    return prefix_sums(tail, ["place", "id"], "stored_bytes", "freed_before", n).where(F.col("freed_before") < excess).drop("stored_bytes", "place")
 
 
 def used_bytes(memories: DataFrame, events: DataFrame, memory_links: DataFrame, event_links: DataFrame) -> DataFrame:
@@ -145,6 +176,16 @@ def summarisation_candidates(memories: DataFrame, events: DataFrame, least: int,
     return out.limit(limit) if limit else out
 
 
+def count_forgotten(log: DataFrame, groups: tuple[str, ...] = ()) -> DataFrame:
+    """One row (n): the log's rows that a caller sees."""
+    return (log.where(F.col("group_name").isin(*groups)) if groups else log).agg(F.count(F.lit(1)).alias("n"))
+
+
+def next_cursor(page: list, limit: int) -> int:
+    """The after_seq that continues below a full page of the log; 0 behind the last one."""
+    return page[-1].seq if page and len(page) >= limit else 0
+
+
 def tombstones(gone: DataFrame, rule: int, threshold: float, now: int, after_seq: int = 0) -> DataFrame:
     """Log rows of forgotten memories. seq follows ranges of id, so it is dense without a single sorting task."""
     numbered = prefix_sums(gone.withColumn("__one", F.lit(1).cast("long")), ["id"], "__one", "__before")
@@ -213,20 +254,24 @@ def explain(rows: DataFrame, now: int, d: Decay, pressure: float = 1.0) -> DataF
 
 
 def preview(memories: DataFrame, events: DataFrame, now: int, d: Decay, used: int = 0, pressure: float = 1.0) -> DataFrame:
-    """What a cycle would forget: candidates with their rule, from one scan.
+    """What a cycle would forget: candidates with their rule. They are valued once and written.
 
     Consolidated rows free their bytes first; eviction takes the rest of the excess from what stays.
     """
-    rows = valued(candidates(memories, events), now, d)
-    first = doomed(rows, now, d, pressure).withColumn("rule", F.lit(RULE_CONSOLIDATION))
-    excess = 0
-    if d.capacity_bytes and used:
-        freed = first.agg(F.coalesce(F.sum(F.col("body_bytes") + ROW_BYTES), F.lit(0))).first()[0]
-        left = used - freed
-        excess = left - decay.eviction_floor(d) if left > d.capacity_bytes else 0
-    rest = rows.join(first.select("id"), "id", "left_anti")
-    second = evicted(rest, excess).drop("freed_before").withColumn("rule", F.lit(RULE_EVICTION))
-    return first.unionByName(second)
+    rows = valued(candidates(memories, events), now, d).withColumn("goes", F.coalesce(is_doomed(now, d, pressure), F.lit(False)))
+    if not (d.capacity_bytes and used):
+        return rows.where("goes").drop("goes").withColumn("rule", F.lit(RULE_CONSOLIDATION))
+    rows = Scratch(memories.sparkSession, "preview").write(rows, "valued")
+    sized = rows.withColumn("stored_bytes", F.col("body_bytes") + ROW_BYTES).withColumn("place", F.round("value", 9))
+    step = F.when(F.col("goes"), F.lit(None)).when(F.col("retained"), F.lit(100_000)).otherwise(_step())
+    steps = sized.groupBy(step.alias("s")).agg(F.sum("stored_bytes").alias("b"), F.count(F.lit(1)).alias("n")).orderBy("s").collect()
+    left = used - sum(r.b for r in steps if r.s is None)
+    first = rows.where("goes").drop("goes").withColumn("rule", F.lit(RULE_CONSOLIDATION))
+    if left <= d.capacity_bytes:
+        return first
+    rest = sized.where(~F.col("goes") & ~F.col("retained")).drop("goes")
+    second = _tail(rest, [r for r in steps if r.s is not None and r.s < 100_000], left - decay.eviction_floor(d))
+    return first.unionByName(second.drop("freed_before").withColumn("rule", F.lit(RULE_EVICTION)))
 
 
 def preview_sample(found: DataFrame, limit: int = 50) -> tuple[list, bool]:

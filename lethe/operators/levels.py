@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lethe.model import InvalidPlacement
+from lethe.model import LEVELS, InvalidPlacement
 
 COMPACT_FROM = 1 << 30
 
@@ -32,9 +32,19 @@ def compact(levels: DataFrame) -> DataFrame:
     return levels.withColumn("level_rank", F.row_number().over(Window.orderBy("level_rank")))
 
 
-def compact_if_high(levels: DataFrame) -> DataFrame:
+def too_high(levels: DataFrame) -> bool:
     top = levels.agg(F.max("level_rank")).first()[0]
-    return compact(levels) if top is not None and top >= COMPACT_FROM else levels
+    return top is not None and top >= COMPACT_FROM
+
+
+def compact_if_high(levels: DataFrame) -> DataFrame:
+    return compact(levels) if too_high(levels) else levels
+
+
+def from_significance(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(levels, items with level ids) of a table that still holds bare significance, as stores did before the registry."""
+    levels = register_ranks(items.sparkSession.createDataFrame([], LEVELS), items)
+    return levels, attach_levels(items, levels).drop("significance")
 
 
 def target_rank(above: int | None = None, below: int | None = None) -> int:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lethe.functions.text import valid_metadata
@@ -11,12 +11,17 @@ from lethe.model import AlreadyExists
 MAX_ID_BYTES, MAX_BODY_BYTES, SKEW = 128, 1 << 20, 300_000_000_000
 
 
-def insert(items: DataFrame, new: DataFrame) -> DataFrame:
-    """items and new rows; an id that is taken, or comes twice, is an error."""
+def unused(items: DataFrame, new: DataFrame) -> None:
+    """An id of new that is taken, or comes twice, is an error."""
     clash = new.join(items.select("id"), "id", "left_semi").select("id").unionAll(new.groupBy("id").count().where("count > 1").select("id"))
     found = clash.first()
     if found:
         raise AlreadyExists(found[0])
+
+
+def insert(items: DataFrame, new: DataFrame) -> DataFrame:
+    """items and new rows, of ids that aren't taken."""
+    unused(items, new)
     return items.unionByName(new.select(*items.columns))
 
 
@@ -28,7 +33,7 @@ def insert_absent(items: DataFrame, new: DataFrame) -> DataFrame:
 
 def upsert(items: DataFrame, new: DataFrame) -> DataFrame:
     """Rows of new replace those of the same id, but for the link sum, which follows the graph."""
-    latest = new.dropDuplicates(["id"])
+    latest = one_per_id(new)
     if "link_significance" in items.columns:
         kept = items.select("id", F.col("link_significance").alias("__links"))
         latest = latest.drop("link_significance").join(kept, "id", "left").withColumn("link_significance", F.coalesce("__links", F.lit(0)).cast("long"))
@@ -93,11 +98,15 @@ def reinforce(memories: DataFrame, neighbours: DataFrame, now: int, fraction: fl
     return out.select(*memories.columns)
 
 
+def as_summary(summary: DataFrame, event_id: str) -> DataFrame:
+    """A row as the summary of an event, never recalled yet."""
+    row = summary.withColumn("event_id", F.lit(event_id)).withColumn("is_summary", F.lit(True)).withColumn("is_binary", F.lit(False))
+    return row.withColumn("time_recalled", F.lit(0).cast("long")).withColumn("recall_count", F.lit(0))
+
+
 def replace_with_summary(memories: DataFrame, event_id: str, summary: DataFrame) -> DataFrame:
     """One summary row in place of an event's memories."""
-    row = summary.withColumn("event_id", F.lit(event_id)).withColumn("is_summary", F.lit(True)).withColumn("is_binary", F.lit(False))
-    row = row.withColumn("time_recalled", F.lit(0).cast("long")).withColumn("recall_count", F.lit(0))
-    return memories.where(F.col("event_id") != event_id).unionByName(row.select(*memories.columns))
+    return memories.where(F.col("event_id") != event_id).unionByName(as_summary(summary, event_id).select(*memories.columns))
 
 
 def flag_consolidated(events: DataFrame, seen: DataFrame) -> DataFrame:
@@ -150,6 +159,13 @@ def import_links(items: DataFrame, links: DataFrame, new: DataFrame) -> tuple[Da
     return upsert_links(links, good), dropped
 
 
+def one_per_id(rows: DataFrame) -> DataFrame:
+    """One row for each id, whatever the order of rows: the one whose hash of all columns is smallest."""
+    spot = F.xxhash64(*(F.to_json(c) if t.startswith("map") else F.col(c) for c, t in rows.dtypes))
+    return rows.groupBy("id").agg(F.min_by(F.struct(*rows.columns), spot).alias("one")).select("one.*")
+
+
 def newest_per_id(rows: DataFrame, by: str) -> DataFrame:
-    first = F.row_number().over(Window.partitionBy("id").orderBy(F.desc(by)))
-    return rows.withColumn("__r", first).where(F.col("__r") == 1).drop("__r")
+    """Each id's row with the largest ``by``; of equal ones, that of the smallest hash."""
+    spot = F.xxhash64(*(F.to_json(c) if t.startswith("map") else F.col(c) for c, t in rows.dtypes))
+    return rows.groupBy("id").agg(F.max_by(F.struct(*rows.columns), F.struct(by, spot)).alias("one")).select("one.*")

@@ -1,20 +1,30 @@
 """Promotion rules: a declarative way to route events and their memories.
 
 A rule's condition is a SQL boolean over ``event`` (a struct) and ``memories`` (an array of structs);
-the first rule that holds decides. Rules become one CASE over whole tables. A condition that fails on
-a row (with ``try_`` functions it is null) doesn't hold there, and counts as that rule's error.
+the first rule that holds decides. Rules become one CASE over whole tables. Conditions are built without
+ANSI mode, where what can't be computed on a row, such as a division by zero, is null: the rule doesn't
+hold there, counts as an error of that rule, and later rules are tried. Functions that raise all the
+same are refused when rules are parsed.
+
+Memories enter as aggregates. Only a ruleset whose conditions read ``memories`` collects them, without
+their texts unless it reads those, and only for events of at most ``most`` memories, counted before.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lethe.functions.text import merged_metadata, valid_metadata
 from lethe.model import InvalidArgument
+from lethe.session import setting
 
+ANSI = "spark.sql.ansi.enabled"
 ACTIONS = ("promote", "drop", "keep", "summarise")
 ORPHANS = ("ignore", "promote", "drop")
 EVENT_FACTS = (
@@ -22,8 +32,14 @@ EVENT_FACTS = (
     "duration_seconds double, memory_count long, body_bytes long, significance_min int, significance_max int, significance_mean double"
 )
 MEMORY_FACTS = "id string, body string, significance int, is_binary boolean, is_summary boolean, recall_count int, time_stamp long, metadata map<string,string>"
+NARROW_FACTS = "id string, significance int, is_binary boolean, is_summary boolean, recall_count int, time_stamp long"
+MAX_MEMORIES = 10_000
+RAISING = ("raise_error(", "assert_true(")
 EVENT_SET = {"significance": "int", "name": "string", "description": "string", "group": "string", "metadata": "map<string,string>"}
 MEMORY_SET = {"significance": "int", "metadata": "map<string,string>"}
+FITS = {"int": ("tinyint", "smallint", "int", "bigint"), "string": ("string",), "map<string,string>": ("map<string,string>",)}  # types of expressions that a field takes
+MAX_CONDITION = 10_000  # characters
+MAX_NAME, MAX_DESCRIPTION = 256, 1024
 
 
 @dataclass(frozen=True)
@@ -51,19 +67,31 @@ class Ruleset:
         """Whether a condition reads memories: it doesn't resolve without them."""
         return any(not _resolves(_facts(spark).drop("memories"), r.when) for r in self.rules)
 
+    def needs_texts(self, spark: SparkSession) -> bool:
+        """Whether a condition reads memories' bodies or metadata."""
+        rows = spark.createDataFrame([], f"event struct<{EVENT_FACTS}>, memories array<struct<{NARROW_FACTS}>>")
+        return any(not _resolves(rows, r.when) for r in self.rules)
+
 
 def _facts(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], f"event struct<{EVENT_FACTS}>, memories array<struct<{MEMORY_FACTS}>>")
 
 
-def _resolves(rows: DataFrame, text: str) -> bool:
+def _type_of(rows: DataFrame, text: str) -> str | None:
+    """The type of an expression over rows, or None if it doesn't resolve or may raise."""
     try:
-        rows.select(F.expr(text)).schema  # noqa: B018
-        return True
+        out = rows.select(F.expr(text).alias("x"))
+        plan = out._jdf.queryExecution().analyzed().toString()
+        whole = plan.startswith(("Aggregate", "Window", "Generate"))  # an expression over many rows is none of a row
+        return None if whole or any(f in plan for f in RAISING) else out.schema[0].dataType.simpleString()
     except Exception as e:
         if type(e).__name__ not in ("AnalysisException", "ParseException"):
             raise
-        return False
+        return None
+
+
+def _resolves(rows: DataFrame, text: str) -> bool:
+    return _type_of(rows, text) is not None
 
 
 def parse(spark: SparkSession, text: str) -> Ruleset:
@@ -87,11 +115,12 @@ def parse(spark: SparkSession, text: str) -> Ruleset:
         if rule.summarise and (rule.keep_top or rule.min_significance):
             raise InvalidArgument("a summary takes no other reduction")
         facts = _facts(spark)
-        if not _resolves(facts, rule.when) or facts.select(F.expr(rule.when)).schema[0].dataType.typeName() != "boolean":
+        if len(rule.when) > MAX_CONDITION or _type_of(facts, rule.when) != "boolean":
             raise InvalidArgument(f"rule {rule.name}: not a condition: {rule.when}")
         for sets, kinds, rows in ((rule.set_event, EVENT_SET, facts), (rule.set_memory, MEMORY_SET, facts.select("event", F.explode("memories").alias("memory")))):
             for name, expression in sets.items():
-                if name not in kinds or not _resolves(rows, expression):
+                found = _type_of(rows, expression) if name in kinds and len(expression) <= MAX_CONDITION else None
+                if found is None or found not in FITS[kinds[name]]:
                     raise InvalidArgument(f"rule {rule.name}: cannot set {name}")
         rules.append(rule)
     return Ruleset(data["default"], tuple(rules))
@@ -108,44 +137,58 @@ def load(spark: SparkSession, path: str, last: Ruleset | None = None) -> Ruleset
         return last
 
 
-def event_facts(events: DataFrame, memories: DataFrame, with_memories: bool = True) -> DataFrame:
-    """(id, event, memories) for each event."""
+def event_facts(events: DataFrame, memories: DataFrame, with_memories: bool = True, texts: bool = True, most: int = MAX_MEMORIES) -> DataFrame:
+    """(id, event, memories) for each event of at most ``most`` memories; without texts, memories have neither body nor metadata."""
     named = memories.where(F.col("event_id") != "")
-    item = F.struct(
-        "id", "body", "significance", "is_binary", "is_summary", "recall_count", F.col("timestamp").alias("time_stamp"),
-        F.coalesce("metadata", F.create_map().cast("map<string,string>")).alias("metadata"),
-    )
-    listed = F.array_sort(F.collect_list(item), lambda a, b: F.when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0))
     totals = named.groupBy("event_id").agg(
         F.count(F.lit(1)).alias("memory_count"), F.sum(F.octet_length("body").cast("long")).alias("body_bytes"), F.min("significance").alias("low"),
-        F.max("significance").alias("high"), F.avg("significance").alias("mean"), *([listed.alias("memories")] if with_memories else []),
+        F.max("significance").alias("high"), F.avg("significance").alias("mean"),
     )
-    rows = events.join(totals, events["id"] == totals["event_id"], "left")
+    rows = events.join(totals, events["id"] == totals["event_id"], "left").drop("event_id")
+    rows = rows.where(F.coalesce("memory_count", F.lit(0)) <= most)
+    none = F.create_map().cast("map<string,string>")
     span = F.when(F.col("time_end") > 0, (F.col("time_end") - F.col("time_start")) / F.lit(1e9)).otherwise(F.lit(0.0))
     zero = lambda c: F.coalesce(c, F.lit(0))
     event = F.struct(
-        events["id"].alias("id"), "name", "description", F.col("group_name").alias("group"), "significance", F.coalesce("metadata", F.create_map().cast("map<string,string>")).alias("metadata"),
+        "id", "name", "description", F.col("group_name").alias("group"), "significance", F.coalesce("metadata", none).alias("metadata"),
         "time_start", "time_end", span.alias("duration_seconds"), zero("memory_count").alias("memory_count"), zero("body_bytes").alias("body_bytes"),
         zero("low").alias("significance_min"), zero("high").alias("significance_max"), F.coalesce("mean", F.lit(0.0)).alias("significance_mean"),
     )
-    none = F.array().cast(f"array<struct<{MEMORY_FACTS}>>")
-    held = F.coalesce("memories", none) if with_memories else none
-    return rows.select(events["id"].alias("id"), event.alias("event"), held.alias("memories"))
+    empty = F.array().cast(f"array<struct<{MEMORY_FACTS if texts else NARROW_FACTS}>>")
+    if not with_memories:
+        return rows.select("id", event.alias("event"), empty.alias("memories"))
+    narrow = [F.col("id"), F.col("significance"), F.col("is_binary"), F.col("is_summary"), F.col("recall_count"), F.col("timestamp").alias("time_stamp")]
+    item = F.struct(narrow[0], "body", *narrow[1:], F.coalesce("metadata", none).alias("metadata")) if texts else F.struct(*narrow)
+    under = totals.where(F.col("memory_count") <= most).select("event_id")
+    listed = F.array_sort(F.collect_list(item), lambda a, b: F.when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0))
+    held = named.join(under, "event_id", "left_semi").groupBy("event_id").agg(listed.alias("held"))
+    return rows.select("id", event.alias("event")).join(held, F.col("id") == F.col("event_id"), "left").select("id", "event", F.coalesce("held", empty).alias("memories"))
+
+
+def facts_for(ruleset: Ruleset, events: DataFrame, memories: DataFrame, most: int = MAX_MEMORIES) -> DataFrame:
+    """The facts that a ruleset's conditions read, and no more."""
+    spark = events.sparkSession
+    return event_facts(events, memories, ruleset.needs_memories(spark), ruleset.needs_texts(spark), most)
+
+
+def over_cap(events: DataFrame, memories: DataFrame, most: int = MAX_MEMORIES) -> DataFrame:
+    """(id, memory_count) of the events that are passed over."""
+    n = memories.where(F.col("event_id") != "").groupBy(F.col("event_id").alias("id")).agg(F.count(F.lit(1)).alias("memory_count"))
+    return n.where(F.col("memory_count") > most).join(events.select("id"), "id", "left_semi")
 
 
 def judge(facts: DataFrame, ruleset: Ruleset) -> DataFrame:
-    """(id, rule, action, errors) for each event: the first rule that holds, else the default."""
-    choice, errors = None, []
-    for rule in ruleset.rules:
-        holds = F.expr(rule.when)
-        errors.append(F.when(holds.isNull(), F.lit(rule.name)))
-        hit = F.coalesce(holds, F.lit(False))
-        verdict = F.struct(F.lit(rule.name).alias("rule"), F.lit(rule.action).alias("action"))
-        choice = F.when(hit, verdict) if choice is None else choice.when(hit, verdict)
-    default = F.struct(F.lit("").alias("rule"), F.lit(ruleset.default).alias("action"))
-    choice = default if choice is None else choice.otherwise(default)
+    """(id, rule, action, errors) for each event: the first rule that holds, else the default; errors of the rules tried."""
+    with setting(facts.sparkSession, ANSI, "false"):
+        conditions = facts.select("id", *(F.expr(rule.when).alias(f"c{i}") for i, rule in enumerate(ruleset.rules)))
+    choice = F.lit(len(ruleset.rules))
+    for i in reversed(range(len(ruleset.rules))):
+        choice = F.when(F.col(f"c{i}"), F.lit(i)).otherwise(choice)
+    rows = conditions.withColumn("at", choice)
+    errors = [F.when(F.col(f"c{i}").isNull() & (F.lit(i) < F.col("at")), F.lit(rule.name)) for i, rule in enumerate(ruleset.rules)]
     found = F.array_compact(F.array(*errors)) if errors else F.array().cast("array<string>")
-    return facts.select("id", choice.alias("c"), found.alias("errors")).select("id", "c.rule", "c.action", "errors")
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("at") + 1)
+    return rows.select("id", pick([*(r.name for r in ruleset.rules), ""]).alias("rule"), pick([*(r.action for r in ruleset.rules), ruleset.default]).alias("action"), found.alias("errors"))
 
 
 def settled(events: DataFrame, now: int, settle: int) -> DataFrame:
@@ -153,47 +196,53 @@ def settled(events: DataFrame, now: int, settle: int) -> DataFrame:
     return events.where((F.col("time_end") > 0) & (F.col("time_end") <= now - settle))
 
 
-def within_cap(facts: DataFrame, most: int) -> DataFrame:
-    return facts.where(F.col("event.memory_count") <= most)
-
-
 def changed_events(facts: DataFrame, verdicts: DataFrame, ruleset: Ruleset) -> DataFrame:
     """(id, event) after the matched rules' settings; values out of bounds leave the field as it is."""
     rows = facts.join(verdicts.select("id", "rule"), "id")
+    bounds = {"significance": lambda v: v >= 0, "name": lambda v: F.octet_length(v).between(1, MAX_NAME), "description": lambda v: F.octet_length(v) <= MAX_DESCRIPTION, "metadata": valid_metadata}
     fields = []
-    for name, kind in ((f.split()[0], f.split()[1]) for f in EVENT_FACTS.split(", ")):
-        value = F.col(f"event.{name}")
+    with setting(facts.sparkSession, ANSI, "false"):
+        for name, kind in ((f.split()[0], f.split()[1]) for f in EVENT_FACTS.split(", ")):
+            value = F.col(f"event.{name}")
+            for rule in ruleset.rules:
+                if name in rule.set_event:
+                    new = F.expr(rule.set_event[name]).cast(EVENT_SET.get(name, kind))
+                    good = bounds[name](new) if name in bounds else new.isNotNull()
+                    value = F.when((F.col("rule") == rule.name) & new.isNotNull() & good, new).otherwise(value)
+            fields.append(value.alias(name))
+        return rows.select("id", F.struct(*fields).alias("event"))
+
+
+def changed_memories(memories: DataFrame, facts: DataFrame, verdicts: DataFrame, ruleset: Ruleset) -> DataFrame:
+    """(event_id, rule, action, memory fields) of the judged events' memories, after the matched rules' settings.
+
+    Verdicts are joined to the table of memories; event facts only where a setting reads them.
+    """
+    sets = [e for r in ruleset.rules for e in r.set_memory.values()]
+    rows = memories.join(verdicts.select(F.col("id").alias("event_id"), "rule", "action"), "event_id")
+    if any("event" in e for e in sets):
+        rows = rows.join(facts.select(F.col("id").alias("event_id"), "event"), "event_id")
+    none = F.create_map().cast("map<string,string>")
+    item = F.struct("id", "body", "significance", "is_binary", "is_summary", "recall_count", F.col("timestamp").alias("time_stamp"), F.coalesce("metadata", none).alias("metadata"))
+    rows = rows.withColumn("memory", item) if sets else rows
+    significance, metadata = F.col("significance"), F.coalesce("metadata", none)
+    with setting(memories.sparkSession, ANSI, "false"):
         for rule in ruleset.rules:
-            if name in rule.set_event:
-                new = F.expr(rule.set_event[name]).cast(EVENT_SET.get(name, kind))
-                if name == "significance":
-                    new = F.when(new >= 0, new)
-                value = F.when((F.col("rule") == rule.name) & new.isNotNull(), new).otherwise(value)
-        fields.append(value.alias(name))
-    return rows.select("id", F.struct(*fields).alias("event"))
-
-
-def changed_memories(facts: DataFrame, verdicts: DataFrame, ruleset: Ruleset) -> DataFrame:
-    """(event_id, rule, action, memory fields) of every memory, after the matched rules' settings."""
-    rows = facts.join(verdicts.select("id", "rule", "action"), "id").select(F.col("id").alias("event_id"), "rule", "action", "event", F.explode("memories").alias("memory"))
-    significance, metadata = F.col("memory.significance"), F.col("memory.metadata")
-    for rule in ruleset.rules:
-        hit = F.col("rule") == rule.name
-        if "significance" in rule.set_memory:
-            new = F.expr(rule.set_memory["significance"]).cast("int")
-            significance = F.when(hit & (new >= 0), new).otherwise(significance)
-        if "metadata" in rule.set_memory:
-            from lethe.functions.text import merged_metadata
-
-            metadata = F.when(hit, merged_metadata(F.col("memory.metadata"), F.expr(rule.set_memory["metadata"]))).otherwise(metadata)
-    return rows.select(
-        "event_id", "rule", "action", "memory.id", "memory.body", significance.alias("significance"), "memory.is_binary", "memory.is_summary",
-        "memory.recall_count", F.col("memory.time_stamp").alias("timestamp"), metadata.alias("metadata"),
-    )
+            hit = F.col("rule") == rule.name
+            if "significance" in rule.set_memory:
+                new = F.expr(rule.set_memory["significance"]).cast("int")
+                significance = F.when(hit & (new >= 0), new).otherwise(significance)
+            if "metadata" in rule.set_memory:
+                new = merged_metadata(F.col("metadata"), F.expr(rule.set_memory["metadata"]))
+                metadata = F.when(hit & valid_metadata(new), new).otherwise(metadata)
+        return rows.select("event_id", "rule", "action", "id", "body", significance.alias("significance"), "is_binary", "is_summary", "recall_count", "timestamp", metadata.alias("metadata"))
 
 
 def reduced(memories: DataFrame, ruleset: Ruleset) -> DataFrame:
-    """Promoted memories that their rule's reduction keeps: a least significance, the top n of an event."""
+    """Promoted memories that their rule's reduction keeps: a least significance, the top n of an event.
+
+    What rules summarise is left to ``summarised``.
+    """
     least, top = F.lit(0), F.lit(0)
     for rule in ruleset.rules:
         least = F.when(F.col("rule") == rule.name, rule.min_significance).otherwise(least)
@@ -203,6 +252,33 @@ def reduced(memories: DataFrame, ruleset: Ruleset) -> DataFrame:
     return rows.withColumn("__r", best).where((F.col("__top") == 0) | (F.col("__r") <= F.col("__top"))).drop("__top", "__r")
 
 
+def summarised(memories: DataFrame, ruleset: Ruleset, summariser: Callable[[str, list[str]], str], now: int) -> DataFrame:
+    """Promoted memories, where those of events that a rule summarises are one summary.
+
+    An event's texts meet in one task, so memories come from events under the cap.
+    """
+    names = [r.name for r in ruleset.rules if r.summarise]
+    hit = F.col("rule").isin(*names) & (F.col("action") == "promote") if names else F.lit(False)
+    rest, asked = memories.where(~hit), memories.where(hit)
+    if not names:
+        return rest
+    wanted = asked.where(~F.col("is_binary")).select("event_id", "timestamp", "id", "body")
+
+    def one(event: pd.DataFrame) -> pd.DataFrame:
+        from lethe.plans.summarise import whole_summary
+
+        event_id, texts = event["event_id"].iloc[0], event.sort_values(["timestamp", "id"])["body"]
+        return pd.DataFrame({"event_id": [event_id], "body": [whole_summary(texts, lambda part: summariser(event_id, part))]})
+
+    texts = wanted.groupBy("event_id").applyInPandas(one, "event_id string, body string")
+    top = asked.groupBy("event_id", "rule", "action").agg(F.max("significance").alias("significance"))
+    new = texts.join(top, "event_id").select(
+        "event_id", "rule", "action", F.concat(F.lit("summary-"), "event_id", F.lit(f"-{now}")).alias("id"), "body", "significance", F.lit(False).alias("is_binary"), F.lit(True).alias("is_summary"),
+        F.lit(0).alias("recall_count"), F.lit(now).cast("long").alias("timestamp"), F.create_map().cast("map<string,string>").alias("metadata"),
+    )
+    return rest.unionByName(new)
+
+
 def dry_run(memories: DataFrame, ruleset: Ruleset) -> DataFrame:
     """(action, rule, memories, promoted) without doing anything."""
     kept = reduced(memories, ruleset).groupBy("rule").agg(F.count(F.lit(1)).alias("promoted"))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+from dataclasses import dataclass
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lethe.functions.text import cosine, query_terms
@@ -20,16 +24,26 @@ def postings(memories: DataFrame) -> DataFrame:
     return rows.groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def asked_terms(spark: SparkSession, text: str) -> list[str]:
+    asked = sorted(set(spark.range(1).select(query_terms(F.lit(text))).first()[0]))
+    if not asked:
+        raise InvalidArgument("a query needs a word")
+    return asked
+
+
+def bm25(tf: Column, df: Column, dl: Column, n: Column, avgdl: Column) -> Column:
+    idf = F.greatest(F.ln((n - df + 0.5) / (df + 0.5)), F.lit(1e-6))
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+
+
 def keyword_hits(memories: DataFrame, text: str, limit: int = 10) -> DataFrame:
-    """(id, score) by BM25 over documents with any of the query's terms.
+    """(id, score) by BM25 over documents with any of the query's terms, without an index.
 
-    The query's terms are few, so one scan cuts documents down to their counts and no index is
-    shuffled; memories come filtered.
+    One scan cuts documents down to the query's counts; memories come filtered. ``KeywordIndex`` reads
+    the query's words only.
     """
     spark = memories.sparkSession
-    asked = sorted(set(spark.range(1).select(query_terms(F.lit(text))).first()[0]))
-    if not asked:
-        raise InvalidArgument("a query needs a word")
+    asked = asked_terms(spark, text)
     text_of = F.lower("body")
     times = lambda word: F.regexp_count(text_of, F.lit(rf"(?<![\p{{L}}\p{{N}}]){word}(?![\p{{L}}\p{{N}}])"))  # noqa: E731  words hold letters and digits only
     docs = memories.where(~F.col("is_binary")).select("id", F.regexp_count(text_of, F.lit(r"[\p{L}\p{N}]+")).alias("dl"), *(times(w).alias(f"tf{i}") for i, w in enumerate(asked)))
@@ -38,12 +52,87 @@ def keyword_hits(memories: DataFrame, text: str, limit: int = 10) -> DataFrame:
     rows = counted.where(F.greatest(F.lit(0), *(F.col(f"tf{i}") for i in range(len(asked)))) > 0).join(F.broadcast(totals))
     score = F.lit(0.0)
     for i in range(len(asked)):
-        t, n = F.col(f"tf{i}"), F.col(f"df{i}")
-        idf = F.greatest(F.ln((F.col("n") - n + 0.5) / (n + 0.5)), F.lit(1e-6))
-        score = score + idf * t * (K1 + 1) / (t + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+        score = score + bm25(F.col(f"tf{i}"), F.col(f"df{i}"), F.col("dl"), F.col("n"), F.col("avgdl"))
     return rows.select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(limit)
 
 
+@dataclass
+class KeywordIndex:
+    """A stored inverted index: (bucket, term, id, tf, dl) in segments, each sorted by term within buckets of its hash.
+
+    A query reads the folders of its words' buckets, and of those the row groups that hold the words. A
+    segment replaces what earlier ones hold of its documents; ``latest`` tells each document's segment.
+    """
+
+    spark: SparkSession
+    path: str
+    buckets: int = 64
+    segments: int = 0
+    n: int = 0
+    words: int = 0
+
+    def add(self, memories: DataFrame) -> KeywordIndex:
+        """Index text memories, in place of what is there of the same ids."""
+        at = f"{self.path}/segment={self.segments}"
+        rows = postings(memories).withColumn("bucket", self._bucket(F.col("term")))
+        rows.repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(f"{at}/postings")
+        memories.where(~F.col("is_binary")).select("id", F.size(query_terms(F.col("body"))).alias("dl")).write.parquet(f"{at}/lengths")
+        self.segments += 1
+        self.n, self.words = self._latest().agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
+        return self
+
+    def _bucket(self, term: Column) -> Column:
+        return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
+
+    def _read(self, name: str) -> DataFrame:
+        out = None
+        for i in range(self.segments):
+            rows = self.spark.read.parquet(f"{self.path}/segment={i}/{name}").withColumn("segment", F.lit(i))
+            out = rows if out is None else out.unionByName(rows)
+        return out
+
+    def _latest(self) -> DataFrame:
+        """(id, segment, dl) of each document's last segment."""
+        rows = self._read("lengths")
+        return rows if self.segments == 1 else rows.groupBy("id").agg(F.max_by("dl", "segment").alias("dl"), F.max("segment").alias("segment"))
+
+    def postings(self) -> DataFrame:
+        """(term, id, tf, dl) of all documents."""
+        rows = self._read("postings")
+        rows = rows if self.segments == 1 else rows.join(self._latest().select("id", "segment"), ["id", "segment"], "left_semi")
+        return rows.select("term", "id", "tf", "dl")
+
+    def hits(self, text: str, limit: int = 10, allowed: DataFrame | None = None) -> DataFrame:
+        """(id, score) by BM25 over documents with any of the query's terms; allowed: (id) of those a caller may see."""
+        if not self.segments:
+            raise InvalidArgument("nothing is indexed")
+        asked = asked_terms(self.spark, text)
+        at = self.spark.createDataFrame([(w,) for w in asked], "term string").select(self._bucket(F.col("term"))).distinct().collect()  # of one query's words
+        rows = self._read("postings").where(F.col("bucket").isin([r[0] for r in at]) & F.col("term").isin(asked))
+        if self.segments > 1:
+            rows = rows.join(self._latest().select("id", "segment"), ["id", "segment"], "left_semi")
+        df = F.broadcast(rows.groupBy("term").agg(F.count(F.lit(1)).alias("df")))  # a row for each of the query's words
+        score = bm25(F.col("tf"), F.col("df"), F.col("dl"), F.lit(float(self.n)), F.lit(self.words / max(1, self.n)))
+        found = rows.join(df, "term").groupBy("id").agg(F.sum(score).alias("score"))
+        if allowed is not None:
+            found = found.join(allowed.select("id"), "id", "left_semi")
+        return found.orderBy(F.desc("score"), "id").limit(limit)
+
+
+def embedded(bodies: DataFrame, embed: Callable[[str], list[float]], rows: int = 64) -> DataFrame:
+    """(id, vector) of (id, body). ``embed`` runs inside tasks; one with a ``batch`` attribute takes lists of at most ``rows`` bodies."""
+
+    def run(batches):
+        many = getattr(embed, "batch", None) or (lambda texts: [embed(t) for t in texts])
+        for batch in batches:
+            for at in range(0, len(batch), rows):
+                part = batch.slice(at, rows)
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(many(part.column("body").to_pylist()), pa.list_(pa.float32()))], ["id", "vector"])
+
+    kind = dict(bodies.dtypes)["id"]
+    return bodies.select("id", "body").mapInArrow(run, f"id {kind}, vector array<float>")
+
+
 def vector_hits(vectors: DataFrame, query: list[float], limit: int = 10) -> DataFrame:
     """(id, score) of the largest cosines, exactly; the query is a literal, so nothing is shuffled but the top."""
     asked = F.array(*(F.lit(float(x)) for x in query))
@@ -88,14 +177,14 @@ def rank(hits: DataFrame, memories: DataFrame, weights: Ranking = Ranking(), lim
     return found.withColumn("blend", blend).drop("recalls", "ranked").orderBy(F.desc("blend"), "position").limit(limit)
 
 
-def search(memories: DataFrame, mode: str = "keyword", text: str = "", vectors: DataFrame | None = None, query: list[float] | None = None, weights: Ranking = Ranking(), limit: int = 10) -> DataFrame:
+def search(memories: DataFrame, mode: str = "keyword", text: str = "", vectors: DataFrame | None = None, query: list[float] | None = None, weights: Ranking = Ranking(), limit: int = 10, index: KeywordIndex | None = None) -> DataFrame:
     """Ranked memories of a keyword, semantic or hybrid search; memories come filtered and resolved."""
     wanted = weights.candidates(limit)
     if mode not in search_modes(vectors is not None):
         raise InvalidArgument(f"mode is one of {', '.join(search_modes(vectors is not None))}")
     lists = []
     if mode in ("keyword", "hybrid"):
-        lists.append(keyword_hits(memories, text, wanted))
+        lists.append(index.hits(text, wanted, memories) if index is not None else keyword_hits(memories, text, wanted))
     if mode in ("semantic", "hybrid"):
         allowed = vectors.join(memories.select("id"), "id", "left_semi")
         lists.append(vector_hits(allowed, query, wanted))

@@ -17,7 +17,8 @@ def related(items: DataFrame, min_shared: int = 2, limit: int = 5, cap: int = 8)
     pairs by cap squared whatever the table's size.
     """
     rows = items.select("id", F.explode(F.array_distinct("terms")).alias("term"))
-    rare = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.slice(F.array_sort(F.collect_list("id")), 1, cap + 1).alias("ids")).where(F.col("df").between(2, cap))
+    df = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df").between(2, cap))
+    rare = rows.join(df, "term").groupBy("term").agg(F.collect_list("id").alias("ids"))  # of at most cap
     pairs = rare.select(F.explode("ids").alias("id"), "ids").select("id", F.explode("ids").alias("other")).where(F.col("id") != F.col("other"))
     shared = pairs.groupBy("id", "other").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= min_shared)
     best = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("shared"), "other"))

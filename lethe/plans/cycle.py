@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -9,12 +10,15 @@ from pyspark.sql import functions as F
 
 from lethe.functions import decay
 from lethe.model import RULE_CONSOLIDATION, RULE_EVICTION, Decay
-from lethe.operators import forget, levels, links, mutate
+from lethe.operators import forget, levels
 from lethe.operators.listing import count_by_membership
 from lethe.operators.relations import resolved
+from lethe.plans import changes
 from lethe.sources.scratch import Scratch
 from lethe.sources.snapshots import Snapshot
 
+Step = Callable[[Snapshot], Snapshot]
+
 
 @dataclass
 class Report:
@@ -29,27 +33,30 @@ class Report:
 
 
 def _forget(snapshot: Snapshot, gone: DataFrame, emptied: DataFrame, scratch: Scratch, name: str) -> Snapshot:
-    """Without doomed memories and events; links of what went are pruned and the sums taken anew."""
-    memories, events = mutate.delete(snapshot.memories, gone), mutate.delete(snapshot.events, emptied)
-    memory_links, event_links = links.prune(snapshot.memory_links, gone), links.prune(snapshot.event_links, emptied)
-    tables = {
-        "memory_links": memory_links,
-        "event_links": event_links,
-        "memories": links.with_totals(memories, memory_links),
-        "events": links.with_totals(events, event_links),
-    }
-    return snapshot.replace(**{k: scratch.write(v, f"{name}-{k}") for k, v in tables.items()})
+    """Without doomed memories and events; links of what went are pruned and the sums of their neighbours taken anew."""
+    if gone.isEmpty() and emptied.isEmpty():
+        return snapshot
+    write = lambda rows, part: scratch.write(rows, f"{name}-{part}")
+    return changes.removed(changes.removed(snapshot, "memories", gone, write), "events", emptied, write)
+
+
+def _flag(snapshot: Snapshot, seen: DataFrame, scratch: Scratch, name: str) -> Snapshot:
+    """With events flagged as consolidated, where they weren't."""
+    ids = seen.select(F.col("event_id").alias("id")).distinct()
+    rows = snapshot.events.where(~F.col("memories_consolidated")).join(ids, "id", "left_semi").withColumn("memories_consolidated", F.lit(True))
+    return snapshot.put("events", scratch.write(rows.select(*snapshot.events.columns), f"flags-{name}"))
 
 
 def _log(snapshot: Snapshot, gone: DataFrame, rule: int, threshold: float, now: int) -> Snapshot:
     last = snapshot.tombstones.agg(F.max("seq")).first()[0] or 0
-    return snapshot.replace(tombstones=snapshot.tombstones.unionByName(forget.tombstones(gone, rule, threshold, now, last)))
+    return snapshot.put("tombstones", forget.tombstones(gone, rule, threshold, now, last))
 
 
-def run(snapshot: Snapshot, now: int, d: Decay, last_used_bytes: int = 0, log: bool = True) -> tuple[Snapshot, Report]:
-    """Consolidate event-less memories, memories of events and empty events, then evict to the byte floor.
+def run(snapshot: Snapshot, now: int, d: Decay, last_used_bytes: int = 0, log: bool = True, summarise: Step | None = None, log_days: int = 0, log_rows: int = 0) -> tuple[Snapshot, Report]:
+    """Consolidate event-less memories, memories of events and empty events, summarise, evict to the byte floor, prune the log.
 
-    Each pass reads what the pass before wrote, so link sums follow deletions.
+    Each pass reads what the pass before did, and writes what it takes away or changes itself.
+    ``summarise`` is a step from snapshot to snapshot, for a summariser that is set up.
     """
     scratch = Scratch(snapshot.memories.sparkSession, "cycle")
     report = Report()
@@ -73,17 +80,19 @@ def run(snapshot: Snapshot, now: int, d: Decay, last_used_bytes: int = 0, log: b
     # Pass 2: memories of events; every surviving event it saw is flagged.
     rows = scratch.write(scan(F.col("event_id") != ""), "seen-2")
     gone = scratch.write(forget.doomed(rows, now, d, report.pressure), "pass-2")
-    emptied = scratch.write(forget.emptied_events(rows, gone).select(F.col("event_id").alias("id")), "emptied-2")
+    emptied = scratch.write(forget.emptied_by(rows, forget.is_doomed(now, d, report.pressure)).select(F.col("event_id").alias("id")), "emptied-2")
     report.memories_consolidated += gone.count()
     report.events_consolidated += emptied.count()
     if log:
         snapshot = _log(snapshot, gone, RULE_CONSOLIDATION, limit, now)
-    snapshot = snapshot.replace(events=mutate.flag_consolidated(snapshot.events, rows.where(F.col("has_event")).select("event_id")))
+    snapshot = _flag(snapshot, rows.where(F.col("has_event")), scratch, "two")
     snapshot = _forget(snapshot, gone, emptied, scratch, "two")
     # Pass 3: events that hold nothing.
     old = scratch.write(forget.doomed_events(view("events"), snapshot.memories, now, d, report.pressure).select("id"), "pass-3")
     report.events_consolidated += old.count()
     snapshot = _forget(snapshot, old.limit(0), old, scratch, "three")
+    if summarise is not None:
+        snapshot = summarise(snapshot)
     # Eviction.
     if d.capacity_bytes > 0:
         report.used_bytes = forget.used_bytes(snapshot.memories, snapshot.events, snapshot.memory_links, snapshot.event_links).first()[0]
@@ -95,7 +104,11 @@ def run(snapshot: Snapshot, now: int, d: Decay, last_used_bytes: int = 0, log: b
             report.bytes_freed = gone.agg(F.coalesce(F.sum(F.col("body_bytes") + 256), F.lit(0))).first()[0]
             if log:
                 snapshot = _log(snapshot, gone, RULE_EVICTION, limit, now)
-            touched = gone.where(F.col("has_event")).select("event_id")
-            snapshot = snapshot.replace(events=mutate.flag_consolidated(snapshot.events, touched))
+            snapshot = _flag(snapshot, gone.where(F.col("has_event")), scratch, "four")
             snapshot = _forget(snapshot, gone, emptied, scratch, "four")
-    return snapshot.replace(levels=levels.compact_if_high(snapshot.levels)), report
+    if log and (log_days or log_rows):
+        kept = forget.prune_log(snapshot.tombstones, now, log_days, log_rows)
+        snapshot = snapshot.drop("tombstones", scratch.write(snapshot.tombstones.select("seq").join(kept.select("seq"), "seq", "left_anti"), "pruned"))
+    if levels.too_high(snapshot.levels):
+        snapshot = snapshot.replace(levels=levels.compact(snapshot.levels))
+    return snapshot, report

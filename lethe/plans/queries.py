@@ -10,6 +10,7 @@ from lethe.model import DAY, Decay, EventFilter, MemoryFilter, Ranking
 from lethe.operators import filters, forget, ingest, levels, links, listing, mutate, relations, rules, search, topics
 from lethe.sources import driver_tables as D
 from lethe.sources.driver_tables import EV, LINKS_SQL, MEM, NOW
+from lethe.sources.scratch import Scratch
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -87,9 +88,7 @@ def consolidate_eventless(spark, sf_dir):
 @query("consolidate_event_memories", f"WITH {CAND}, g AS (SELECT * FROM eff WHERE event_id <> ''), d AS (SELECT event_id, count(*) FILTER ({_DUE(4)}) AS doomed, count(*) AS n, bool_or(has_event) AS known FROM g GROUP BY event_id) SELECT event_id, doomed, known AND doomed = n AS emptied FROM d WHERE doomed > 0")
 def consolidate_event_memories(spark, sf_dir):
     rows = forget.candidates(mem(spark, sf_dir).where(F.col("event_id") != ""), ev(spark, sf_dir))
-    gone = forget.doomed(rows, NOW, DECAYS[4])
-    empty = forget.emptied_events(rows, gone).withColumn("emptied", F.lit(True))
-    return gone.groupBy("event_id").agg(F.count(F.lit(1)).alias("doomed")).join(empty, "event_id", "left").withColumn("emptied", F.coalesce("emptied", F.lit(False)))
+    return forget.by_event(rows, forget.is_doomed(NOW, DECAYS[4])).where(F.col("doomed") > 0)
 
 
 @query("consolidate_events", f"WITH {MEM}, {EV}, x AS (SELECT *, significance::DOUBLE + {_LINK('link_significance')} AS s, ({NOW} - greatest(time_start, time_end))::DOUBLE / 86400000000000.0 / 30.0 AS age, ({NOW} - greatest(time_start, time_end)) // 86400000000000 AS days FROM ev WHERE id NOT IN (SELECT event_id FROM mem WHERE event_id <> '')) SELECT id FROM x WHERE {_DUE(1)}")
@@ -116,7 +115,7 @@ _EVICT = f"ret AS (SELECT *, {CURVES[1]} AS value FROM eff WHERE days >= 60), ru
 @query("evict_budget", f"WITH {CAND}, {_EVICT} SELECT id, round(value, 6) AS value, freed_before FROM run WHERE freed_before < {EXCESS}")
 def evict_budget(spark, sf_dir):
     rows = forget.valued(forget.candidates(mem(spark, sf_dir), ev(spark, sf_dir)), NOW, BASE)
-    return forget.evicted(rows, EXCESS).select("id", F.round("value", 6).alias("value"), "freed_before")
+    return forget.evicted(Scratch(spark, "evict").write(rows, "valued"), EXCESS).select("id", F.round("value", 6).alias("value"), "freed_before")
 
 
 CAPACITY, USED = 6_000_000, 16_000_000
@@ -439,9 +438,25 @@ def _bm25(limit):
     return f"{_WORDS}, c AS (SELECT id, significance, recall_count, len(terms) AS dl, {tf} FROM w), t AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS avgdl, {df} FROM c), kw AS (SELECT id, significance, recall_count, {score} AS score FROM c, t WHERE tf0 + tf1 + tf2 > 0 ORDER BY score DESC, id LIMIT {limit})"
 
 
+_INDEXES: dict = {}
+
+
+def keyword_index(spark, sf_dir) -> search.KeywordIndex:
+    """The stored index of the documents, built once for a session and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        _INDEXES[key] = search.KeywordIndex(spark, Scratch(spark, "keyword-index").path("index")).add(D.texts(spark, sf_dir))
+    return _INDEXES[key]
+
+
+@query("keyword_scan_bm25", f"WITH {_bm25(20)} SELECT id, round(score, 6) AS score FROM kw")
+def keyword_scan_bm25(spark, sf_dir):
+    return search.keyword_hits(D.texts(spark, sf_dir), "The CLOWN, thing!", 20).select("id", F.round("score", 6).alias("score"))
+
+
 @query("keyword_search_bm25", f"WITH {_bm25(20)} SELECT id, round(score, 6) AS score FROM kw")
 def keyword_search_bm25(spark, sf_dir):
-    return search.keyword_hits(D.texts(spark, sf_dir), "The CLOWN, thing!", 20).select("id", F.round("score", 6).alias("score"))
+    return keyword_index(spark, sf_dir).hits("The CLOWN, thing!", 20).select("id", F.round("score", 6).alias("score"))
 
 
 def _cosine_sql(limit):
@@ -459,7 +474,7 @@ def cosine_topk(spark, sf_dir):
 
 @query("rrf_hybrid", f"WITH {_bm25(40)}, {_cosine_sql(40)}, p AS (SELECT id, 0 AS l, row_number() OVER (ORDER BY score DESC, id) - 1 AS pos FROM kw UNION ALL SELECT id, 1, row_number() OVER (ORDER BY score DESC, id) - 1 FROM vh) SELECT id, round(sum(1 / (60.0 + pos)), 9) AS score FROM p GROUP BY id")
 def rrf_hybrid(spark, sf_dir):
-    a = search.keyword_hits(D.texts(spark, sf_dir), " ".join(_ASKED), 40)
+    a = keyword_index(spark, sf_dir).hits(" ".join(_ASKED), 40)
     b = search.vector_hits(D.vectors(spark, sf_dir), _query_vector(spark, sf_dir), 40)
     return search.fuse(a, b).select("id", F.round("score", 9).alias("score"))
 
@@ -468,12 +483,12 @@ def rrf_hybrid(spark, sf_dir):
 def blended_rank(spark, sf_dir):
     docs = D.texts(spark, sf_dir)
     w = Ranking()
-    return search.rank(search.keyword_hits(docs, " ".join(_ASKED), w.candidates(10)), docs, w, 10).select("id", F.round("blend", 6).alias("blend"))
+    return search.rank(keyword_index(spark, sf_dir).hits(" ".join(_ASKED), w.candidates(10)), docs, w, 10).select("id", F.round("blend", 6).alias("blend"))
 
 
 @query("postings", f"WITH {_WORDS}, p AS (SELECT id, unnest(terms) AS term FROM w) SELECT term, count(DISTINCT id) AS df, count(*) AS cf FROM p GROUP BY term")
 def postings(spark, sf_dir):
-    return search.postings(D.texts(spark, sf_dir)).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    return keyword_index(spark, sf_dir).postings().groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
 @query("topic_links", r"""WITH t AS (SELECT item_id AS id, unnest(list_slice(list_distinct(regexp_extract_all(text, '[a-z]{7,}')), 1, 10000)) AS term FROM benchmark),
@@ -509,7 +524,7 @@ kept AS (SELECT * FROM red WHERE rule <> 'urgent' OR rn <= 2)"""
 
 
 def _judged(spark, sf_dir):
-    facts = rules.event_facts(ev(spark, sf_dir), mem(spark, sf_dir))
+    facts = rules.facts_for(RULESET, ev(spark, sf_dir), mem(spark, sf_dir))
     return facts, rules.judge(facts, RULESET)
 
 
@@ -538,13 +553,13 @@ def rules_event_overrides(spark, sf_dir):
 @query("rules_reduced", f"WITH {_FACTS} SELECT event_id, id, rule, sig2::INT AS significance FROM kept")
 def rules_reduced(spark, sf_dir):
     facts, verdicts = _judged(spark, sf_dir)
-    return rules.reduced(rules.changed_memories(facts, verdicts, RULESET), RULESET).select("event_id", "id", "rule", "significance")
+    return rules.reduced(rules.changed_memories(mem(spark, sf_dir), facts, verdicts, RULESET), RULESET).select("event_id", "id", "rule", "significance")
 
 
 @query("rules_dry_run", f"WITH {_FACTS}, k AS (SELECT rule, count(*) AS promoted FROM kept GROUP BY rule) SELECT ms.action, ms.rule, count(*) AS memories, coalesce(max(k.promoted), 0) AS promoted FROM ms LEFT JOIN k ON k.rule = ms.rule GROUP BY ms.action, ms.rule")
 def rules_dry_run(spark, sf_dir):
     facts, verdicts = _judged(spark, sf_dir)
-    return rules.dry_run(rules.changed_memories(facts, verdicts, RULESET), RULESET)
+    return rules.dry_run(rules.changed_memories(mem(spark, sf_dir), facts, verdicts, RULESET), RULESET)
 
 
 @query("rules_orphans", f"WITH {MEM} SELECT id FROM mem WHERE event_id = '' AND timestamp <= {NOW - 500 * DAY}")

@@ -52,8 +52,8 @@ def whole_summary(bodies: Iterable[str], summariser: Callable[[list[str]], str])
     return texts[0] if texts else None
 
 
-def summarise(memories: DataFrame, events: DataFrame, event_id: str, summariser: Summariser, now: int, minimum: int = 0) -> DataFrame:
-    """memories with one summary of all the event's texts; it takes the largest significance of what it replaces."""
+def summary(memories: DataFrame, events: DataFrame, event_id: str, summariser: Summariser, now: int, minimum: int = 0) -> DataFrame:
+    """One row: the summary of all the event's texts; it takes the largest significance of what it replaces."""
     held = memories.where(F.col("event_id") == event_id)
     event = events.where(F.col("id") == event_id).first()
     top = held.orderBy(F.desc("significance"), "timestamp", "id").select("id", "significance").first()
@@ -66,18 +66,20 @@ def summarise(memories: DataFrame, events: DataFrame, event_id: str, summariser:
     text = whole_summary(bodies, lambda part: summariser(event.name, event.group_name, part))
     row = memories.where(F.col("id") == top.id).limit(1)
     row = row.withColumn("id", F.lit(f"summary-{event_id}-{now}")).withColumn("body", F.lit(text)).withColumn("timestamp", F.lit(now).cast("long"))
-    return replace_with_summary(memories, event_id, row.withColumn("metadata", F.lit(None).cast("map<string,string>")))
+    return row.withColumn("metadata", F.lit(None).cast("map<string,string>"))
+
+
+def summarise(memories: DataFrame, events: DataFrame, event_id: str, summariser: Summariser, now: int, minimum: int = 0) -> DataFrame:
+    """memories with one summary in place of the event's."""
+    return replace_with_summary(memories, event_id, summary(memories, events, event_id, summariser, now, minimum))
 
 
-def automatic(memories: DataFrame, events: DataFrame, summariser: Summariser, now: int, least: int, quiet_nanos: int, limit: int = 10) -> tuple[DataFrame, list[str]]:
-    """(memories, event ids) after summarising the fullest quiet events, at most ``limit``; one that fails is passed over."""
+def automatic(memories: DataFrame, events: DataFrame, summariser: Summariser, now: int, least: int, quiet_nanos: int, limit: int = 10) -> Iterator[tuple[str, DataFrame]]:
+    """(event id, summary) of the fullest quiet events, at most ``limit``; one that fails is passed over."""
     from lethe.operators.forget import summarisation_candidates
 
-    done = []
     for row in summarisation_candidates(memories, events, least, now - quiet_nanos, limit).collect():  # bounded by limit
         try:
-            memories = summarise(memories, events, row.event_id, summariser, now)
-            done.append(row.event_id)
+            yield row.event_id, summary(memories, events, row.event_id, summariser, now)
         except InvalidArgument:
             continue
-    return memories, done

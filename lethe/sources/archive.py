@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lethe.model import EVENTS, LINKS, MEMORIES, StoreError
-from lethe.operators.mutate import delete, import_links, upsert
 from lethe.sources.snapshots import Snapshot
 
 VERSION = 1
@@ -41,28 +40,33 @@ def read(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 def ingest(snapshot: Snapshot, archive: dict[str, DataFrame]) -> Snapshot:
     """Upsert an archive's rows; links follow once both their ends exist."""
     from lethe.operators.levels import attach_levels, register_ranks
-    from lethe.operators.links import with_totals
+    from lethe.operators.links import existing_only
+    from lethe.operators.mutate import one_per_id
+    from lethe.plans.changes import GRAPHS, linked, registered
 
     levels = register_ranks(snapshot.tables["levels"], archive["events"], archive["memories"])
-    out = {"levels": levels}
-    for name, graph in (("events", "event_links"), ("memories", "memory_links")):
-        items = upsert(snapshot.tables[name], attach_levels(archive[name], levels).select(*snapshot.tables[name].columns))
-        out[graph], _ = import_links(items, snapshot.tables[graph], archive[graph])
-        out[name] = with_totals(items, out[graph])
-    return snapshot.replace(**out)
+    out = registered(snapshot, levels)
+    for name, graph in GRAPHS.items():
+        rows = attach_levels(one_per_id(archive[name]), levels)
+        kept = snapshot.tables[name].select("id", F.col("link_significance").alias("kept"))
+        rows = rows.join(kept, "id", "left").withColumn("link_significance", F.coalesce("kept", F.lit(0)).cast("long"))  # it follows the graph
+        out = out.put(name, rows)
+        if archive[graph].isEmpty():
+            continue
+        out = linked(out, name, existing_only(archive[graph].dropDuplicates(["from_id", "to_id"]), out.tables[name]))
+    return out
 
 
 def clear(snapshot: Snapshot, manifest: DataFrame) -> Snapshot:
     """Without the exported memories that nobody has recalled since, and without the events that this empties."""
-    from lethe.operators.forget import empty_events, unrecalled
-    from lethe.operators.links import prune
+    from lethe.operators.forget import unrecalled
+    from lethe.plans.changes import emptied, removed
 
     memories = snapshot.tables["memories"]
     gone = unrecalled(memories, manifest)
-    touched = memories.join(gone.select("id"), "id", "left_semi").select(F.col("event_id").alias("id")).distinct()
-    kept = delete(memories, gone)
-    emptied = empty_events(snapshot.tables["events"], kept).join(touched, "id", "left_semi")
-    return snapshot.replace(memories=kept, events=delete(snapshot.tables["events"], emptied), memory_links=prune(snapshot.tables["memory_links"], gone), event_links=prune(snapshot.tables["event_links"], emptied))
+    touched = memories.join(gone.select("id"), "id", "left_semi").select(F.col("event_id").alias("id"))
+    out = removed(snapshot, "memories", gone)
+    return removed(out, "events", emptied(out, touched))
 
 
 def transfer(archive_tables: dict[str, DataFrame], target) -> Snapshot:

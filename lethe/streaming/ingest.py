@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from lethe.operators.ingest import OUTCOMES
 from lethe.operators.levels import attach_levels, register_ranks
-from lethe.operators.mutate import insert_absent, invalid_reason, recall
+from lethe.operators.mutate import invalid_reason, one_per_id, recall
+from lethe.plans.changes import registered, removed
 from lethe.sources.snapshots import Store
 
 
@@ -21,7 +22,7 @@ def store_batch(store: Store, memories: DataFrame, now: int, minimum: int = 0, d
     """
     snapshot = store.read()
     refused = invalid_reason(now).isNotNull() | ((F.col("significance") > 0) & (F.col("significance") < minimum))
-    batch = memories.dropDuplicates(["id"]).withColumn("__refused", F.coalesce(refused, F.lit(True)))
+    batch = one_per_id(memories).withColumn("__refused", F.coalesce(refused, F.lit(True)))
     there = snapshot.memories.select("id", F.lit(True).alias("__there"))
     told = batch.join(there, "id", "left").select("id", F.when(F.col("__refused"), "rejected").when(F.col("__there"), "exists").otherwise("stored").alias("outcome"))
     counts = {r["outcome"]: r["count"] for r in told.groupBy("outcome").count().collect()}
@@ -29,8 +30,10 @@ def store_batch(store: Store, memories: DataFrame, now: int, minimum: int = 0, d
         why = F.coalesce(invalid_reason(now), F.lit("significance"))
         batch.where("__refused").withColumn("reason", why).drop("__refused").write.mode("append").parquet(dead_letters)
     good = batch.where(~F.col("__refused")).drop("__refused")
-    levels = register_ranks(snapshot.levels, good)
-    store.commit(snapshot.replace(levels=levels, memories=insert_absent(snapshot.memories, attach_levels(good, levels))))
+    fresh = good.join(snapshot.memories.select("id"), "id", "left_anti")
+    levels = register_ranks(snapshot.levels, fresh)
+    rows = attach_levels(fresh, levels).select(*snapshot.memories.columns)
+    store.commit(registered(snapshot, levels).put("memories", rows))
     return {o: counts.get(o, 0) for o in OUTCOMES}
 
 
@@ -43,12 +46,32 @@ def bridge(messages: DataFrame, transform: Callable[[DataFrame], DataFrame], sto
     return messages.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
 
 
+def recall_batch(store: Store, batch: DataFrame, now: int) -> tuple[int, int]:
+    """Recall a micro-batch of ids, each distinct one once; (hits, misses)."""
+    snapshot, ids = store.read(), batch.select("id").distinct()
+    rows = snapshot.memories.join(ids, "id", "left_semi")
+    asked, hits = ids.count(), rows.count()
+    if hits:
+        store.commit(snapshot.put("memories", recall(rows, ids, now)))
+    return hits, asked - hits
+
+
+def delete_batch(store: Store, recalled: DataFrame, deleted: DataFrame, now: int) -> int:
+    """Recalls of a micro-batch first, then the memories that it deletes; how many went."""
+    recall_batch(store, recalled, now)
+    snapshot = store.read()
+    gone = snapshot.memories.join(deleted.select("id").distinct(), "id", "left_semi").select("id")
+    n = gone.count()
+    if n:
+        store.commit(removed(snapshot, "memories", gone))
+    return n
+
+
 def recalls(ids: DataFrame, store: Store, checkpoint: str, now: Callable[[], int], seconds: int = 5):
     """A query that recalls a stream of ids: distinct ids of a micro-batch count once."""
 
     def each(batch: DataFrame, _: int) -> None:
-        snapshot = store.read()
-        store.commit(snapshot.replace(memories=recall(snapshot.memories, batch.select("id").distinct(), now())))
+        recall_batch(store, batch, now())
 
     return ids.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
 

@@ -5,9 +5,10 @@ import os
 import duckdb
 import pytest
 
-from lethe.plans import queries
+from lethe.plans import engine_queries, queries
 
 DIR = "/root/testdata/sf0.001"
+QUERIES, ORACLE = {**queries.QUERIES, **engine_queries.QUERIES}, {**queries.ORACLE, **engine_queries.ORACLE}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -28,12 +29,12 @@ def plain(value):
 
 
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
-@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_sql(spark, duck, name):
-    got = queries.QUERIES[name](spark, DIR)
+    got = QUERIES[name](spark, DIR)
     columns = sorted(got.columns)
     rows = sorted(([plain(r[c]) for c in columns] for r in got.collect()), key=repr)
-    want = duck.execute(queries.ORACLE[name])
+    want = duck.execute(ORACLE[name])
     names = [d[0] for d in want.description]
     assert sorted(names) == columns
     expected = sorted(([plain(r[names.index(c)]) for c in columns] for r in want.fetchall()), key=repr)
