@@ -58,3 +58,21 @@ def test_each_stage_does_its_whole_job(spark):
 def test_run_gives_pieces(spark):
     out = corpus_pipeline.run(spark, DIR)
     assert out.columns[:2] == ["doc_id", "start"] and out.count() > 0
+
+
+def test_nulls_repeated_rows_extra_columns_and_empty_tables(spark):
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    names = ["row", "id", "src", "size", "rank", "drop", "__size", "h"]
+    rows = [(1, words(1), "en", "a", 5), (1, words(1), "en", "a", 5), (2, words(1) + " more", "en", None, 5), (None, None, None, None, None), (None, words(3), None, "b", None), (4, "", "de", "b", 0), (5, words(5) * 300, "de", "c", 9)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    docs = spark.createDataFrame([(*r, *names) for r in rows], schema)
+    for held in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, held, DIR)
+            got = out.collect()
+            if name != "packing":
+                assert out.schema == docs.schema
+                held = spark.createDataFrame(got, docs.schema)
+            if name == "n-gram Jaccard join" and got:
+                assert {r.doc_id for r in got} == {1, None, 4, 5}
+        assert bool(got) == bool(held.collect())
