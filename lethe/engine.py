@@ -67,9 +67,9 @@ class Engine:
         return relations.resolved(self._scoped(s.tables[name]), s.levels)
 
     def _need(self, items: DataFrame, ids: DataFrame) -> None:
-        gone = ids.join(self._scoped(items).select("id"), "id", "left_anti").first()
-        if gone:
-            raise NotFound(gone[0])
+        gone = ids.join(self._scoped(items).select("id"), "id", "left_anti").agg(F.min("id")).first()[0]
+        if gone is not None:
+            raise NotFound(gone)
 
     def _unbound(self) -> None:
         if self.groups:

@@ -14,9 +14,9 @@ MAX_ID_BYTES, MAX_BODY_BYTES, SKEW = 128, 1 << 20, 300_000_000_000
 def unused(items: DataFrame, new: DataFrame) -> None:
     """An id of new that is taken, or comes twice, is an error."""
     clash = new.join(items.select("id"), "id", "left_semi").select("id").unionAll(new.groupBy("id").count().where("count > 1").select("id"))
-    found = clash.first()
-    if found:
-        raise AlreadyExists(found[0])
+    found = clash.agg(F.min("id")).first()[0]
+    if found is not None:
+        raise AlreadyExists(found)
 
 
 def insert(items: DataFrame, new: DataFrame) -> DataFrame:

@@ -148,7 +148,12 @@ class Store:
         """Each table's base folder and layers [kind, folder], oldest first."""
         if not version:
             return {name: {"base": None, "layers": []} for name in SCHEMAS}
-        return json.loads(self.spark.read.text(f"{self.path}/versions/{version}.json", wholetext=True).first()[0])
+        path, fs = self._file(f"versions/{version}.json")
+        stream = fs.open(path)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
     def _table(self, name: str, held: dict) -> DataFrame:
         read = lambda folder, schema: self.spark.read.schema(schema).parquet(self._at(folder))
@@ -164,7 +169,9 @@ class Store:
         version = self.version() if version is None else version
         if not version:
             return Snapshot(empty(self.spark).tables, 0, self.read_only)
-        held = self.manifest(version)
+        return self._snapshot(self.manifest(version), version)
+
+    def _snapshot(self, held: dict[str, dict], version: int) -> Snapshot:
         return Snapshot(Tables({name: partial(self._table, name, held.get(name, {"base": None, "layers": []})) for name in SCHEMAS}), version, self.read_only)
 
     def commit(self, snapshot: Snapshot) -> Snapshot:
@@ -179,7 +186,7 @@ class Store:
         for name in SCHEMAS:
             held[name] = self._written(name, held.get(name, {"base": None, "layers": []}), snapshot, f"{folder}/{name}")
         self._publish(current + 1, held)
-        return self.read(current + 1)
+        return self._snapshot(held, current + 1)
 
     def _written(self, name: str, held: dict, snapshot: Snapshot, folder: str) -> dict:
         if name in snapshot.replaced:
