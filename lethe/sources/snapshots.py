@@ -23,6 +23,7 @@ from lethe.model import SCHEMAS, StoreError
 KEYS = {"memories": ["id"], "events": ["id"], "levels": ["id"], "memory_links": ["from_id", "to_id"], "event_links": ["from_id", "to_id"], "tombstones": ["seq"]}
 MAX_LAYERS = 8
 BASE_SHARE = 0.25  # layers that come to this share of their base become part of it
+SMALL_BYTES = 1 << 20  # a table of no more is written whole, which costs less than reading it in layers
 BROADCAST_BYTES = 32 << 20
 
 
@@ -189,11 +190,12 @@ class Store:
         return self._snapshot(held, current + 1)
 
     def _written(self, name: str, held: dict, snapshot: Snapshot, folder: str) -> dict:
-        if name in snapshot.replaced:
+        done = snapshot.layers.get(name, [])
+        if name in snapshot.replaced or done and sum(self._bytes(f) for f in (held["base"], *(x for _, x in held["layers"])) if f) <= SMALL_BYTES:
             snapshot.tables[name].write.parquet(f"{self.path}/{folder}/base")
             return {"base": f"{folder}/base", "layers": []}
         layers = list(held["layers"])
-        for i, (kind, rows) in enumerate(snapshot.layers.get(name, [])):
+        for i, (kind, rows) in enumerate(done):
             rows.write.parquet(f"{self.path}/{folder}/{i}")
             layers.append([kind, f"{folder}/{i}"])
         held = {"base": held["base"], "layers": layers}
