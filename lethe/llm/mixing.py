@@ -95,7 +95,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3, seed:
     """docs, each row as often as the mix takes it."""
     scratch, salts = Scratch(docs.sparkSession, "mix"), _salts(docs)
     counts = scratch.write(_classed(docs, salts).groupBy(*BLOCK).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")), "counts")
-    rows = _classed(docs, salts, carried(docs)).withColumn("rank", F.row_number().over(Window.partitionBy(*BLOCK).orderBy("doc_id", "size")))
+    # Texts settle ties, so that a task that runs again ranks rows of one doc_id as before.
+    rows = _classed(docs, salts, carried(docs)).withColumn("rank", F.row_number().over(Window.partitionBy(*BLOCK).orderBy("doc_id", "size", F.xxhash64("row.text"))))
     taken = _with_copies(rows, _blocks(counts, scratch, weights, cap, seed)).where(F.col("copies") > 0)
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")
 
