@@ -10,7 +10,8 @@ The lexicon is fitted on the driver on a bounded sample of labelled rows (``per_
 each label, chosen by hash); scoring covers every document in full.
 
 Defined cases: null and empty texts score as a text without hits; null labels are not learned from;
-repeated rows score alike, null doc_ids are not held out, repeated labels of a document count once with the largest; with one label
+repeated rows score alike, null doc_ids are not held out, repeated labels of a document count once with
+the largest; of the texts of a repeated doc_id the first in byte order is learned from; with one label
 only, or no labels, every document scores the share of toxic labels (0 without labels); an empty table
 gives an empty result; further columns pass through ``drop_toxic`` unchanged.
 """
@@ -232,7 +233,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = 4000, **folds) -> L
     chosen = rows.where(spot < chance)
     # Broadcast within the sample's bound, with room for chance; texts then stay where they are read.
     wanted = small(chosen, chosen.count(), 4 * per_label)
-    sample = docs.select("doc_id", "text").join(wanted, "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id")
+    sample = docs.select("doc_id", "text").join(wanted, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).orderBy("doc_id")
     got = sample.select("text", "toxic").toPandas()  # bounded by per_label for each label
     total = sum(counts.values())
     return learn([x or "" for x in got["text"]], [int(x) for x in got["toxic"]], counts.get(1, 0) / total if total else None)

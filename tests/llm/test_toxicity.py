@@ -95,6 +95,16 @@ def naive(lexicon, text):
     return total, len(terms)
 
 
+def test_repeated_ids_learn_from_one_text_in_any_order(spark):
+    rows = corpus(400)
+    ids = "doc_id long, text string"
+    docs = [(i, text) for i, text, _ in rows] + [(i, "~ zorgle " * 3) for i, _, _ in rows] + [(i, None) for i, _, _ in rows[::3]]
+    labels = spark.createDataFrame([(i, bool(toxic)) for i, _, toxic in rows], "doc_id long, toxic boolean")
+    once = toxicity.fit(spark.createDataFrame([(i, text) for i, text, _ in rows], ids), labels)
+    for given, parts in ((docs, 3), (docs[::-1], 5)):
+        assert toxicity.fit(spark.createDataFrame(given, ids).repartition(parts), labels) == once
+
+
 def test_matcher_is_the_naive_search():
     import random
 
