@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lethe.model import InvalidArgument
@@ -22,13 +22,20 @@ def prompt(name: Column, group: Column, bodies: Column, most: int = MAX_BODIES,
     return F.substring(F.concat(head, F.array_join(listed, "\n")), 1, chars)
 
 
-def event_texts(memories: DataFrame, events: DataFrame) -> DataFrame:
-    """(event_id, prompt, top) of each event's text memories in order of time."""
+def event_texts(memories: DataFrame, events: DataFrame, most: int = MAX_BODIES, chars: int = MAX_CHARS) -> DataFrame:
+    """(event_id, prompt, top) of each event's text memories in order of time.
+
+    A prompt shows the first ``most`` of them, so no more are gathered; top is the largest significance of all.
+    """
     rows = memories.where((F.col("event_id") != "") & ~F.col("is_binary"))
-    bodies = F.transform(F.array_sort(F.collect_list(F.struct("timestamp", "id", "body"))), lambda x: x["body"])
-    held = rows.groupBy("event_id").agg(bodies.alias("bodies"), F.max("significance").alias("top"))
+    place = F.row_number().over(Window.partitionBy("event_id").orderBy("timestamp", "id"))
+    first = rows.select("event_id", "timestamp", "id", "body").withColumn("place", place).where(F.col("place") <= most)
+    bodies = F.transform(F.array_sort(F.collect_list(F.struct("place", "body"))), lambda x: x["body"])
+    held = first.groupBy("event_id").agg(bodies.alias("bodies"))
+    tops = rows.groupBy("event_id").agg(F.max("significance").alias("top"))
     named = events.select(F.col("id").alias("event_id"), "name", F.col("group_name").alias("g"))
-    return held.join(named, "event_id").select("event_id", prompt(F.col("name"), F.col("g"), F.col("bodies")).alias("prompt"), "top")
+    told = held.join(tops, "event_id").join(named, "event_id")
+    return told.select("event_id", prompt(F.col("name"), F.col("g"), F.col("bodies"), most, chars).alias("prompt"), "top")
 
 
 def parts(bodies: Iterable[str]) -> Iterator[list[str]]:
