@@ -182,11 +182,11 @@ def summarisation_candidates(spark, sf_dir):
     return forget.summarisation_candidates(mem(spark, sf_dir), ev(spark, sf_dir), 4, NOW - 200 * DAY).select("event_id", "name", "n", "newest")
 
 
-@query("summary_prompts", f"""WITH {MEM}, {EV}, r AS (SELECT event_id, body, significance, row_number() OVER (PARTITION BY event_id ORDER BY timestamp, id) AS r FROM memb
+@query("summary_event_texts", f"""WITH {MEM}, {EV}, r AS (SELECT event_id, body, significance, row_number() OVER (PARTITION BY event_id ORDER BY timestamp, id) AS r FROM memb
   WHERE event_id <> '' AND NOT is_binary)
   SELECT r.event_id, substr('Event: ' || e.name || chr(10) || 'Group: ' || e.group_name || chr(10) || string_agg(r.r::VARCHAR || '. ' || r.body, chr(10) ORDER BY r.r) FILTER (r.r <= 3), 1, 120) AS prompt,
     max(r.significance) AS top FROM r JOIN ev e ON r.event_id = e.id GROUP BY r.event_id, e.name, e.group_name""")
-def summary_prompts(spark, sf_dir):
+def summary_event_texts(spark, sf_dir):
     return summarise.event_texts(mem(spark, sf_dir), ev(spark, sf_dir), 3, 120)
 
 
